@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .huffman import op10_token_files
+from .packing import op1_pack_documents
 
 
 def queries() -> dict:
-    return {"op10_token_files": op10_token_files}
+    return {
+        "op1_pack_documents": op1_pack_documents,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
