@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .huffman import op10_token_files
+from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op1_pack_documents
+from .quality import OP4_SQL, op4_quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_pack_documents": op1_pack_documents,
+        "op4_quality_rules": op4_quality_rules,
+        "op9_mix_sources": op9_mix_sources,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": OP4_SQL, "op9_mix_sources": OP9_SQL}
