@@ -106,28 +106,47 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+_tables: dict[int, np.ndarray] = {}
+_SEGMENT = 1 << 22
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first powers of ``base``, kept for the next call."""
+    if len(_tables.get(int(base), ())) < n:
+        with np.errstate(over="ignore"):
+            _tables[int(base)] = powers(base, max(n, 1 << 16))
+    return _tables[int(base)][:n]
+
+
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows of a buffer: byte start, byte end, 64-bit fingerprint, and the first word of each row.
 
     Separators never occur inside a UTF-8 sequence, so bytes can be compared. A word's fingerprint depends
-    on its bytes alone. ``lower`` folds A-Z first.
+    on its bytes alone. ``lower`` folds A-Z first. Works through segments of a few megabytes, cut between
+    words, so that memory stays small beside the text.
     """
-    if lower:
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     ink = ~_IS_SPACE[raw]
     begin, stop = ink.copy(), ink.copy()
     begin[1:] &= ~ink[:-1]
     stop[:-1] &= ~ink[1:]
-    heads = offsets[:-1][np.diff(offsets) > 0]
-    begin[heads] = ink[heads]
-    tails = offsets[1:][np.diff(offsets) > 0] - 1
-    stop[tails] = ink[tails]
+    filled = np.diff(offsets) > 0
+    begin[offsets[:-1][filled]] = ink[offsets[:-1][filled]]
+    stop[offsets[1:][filled] - 1] = ink[offsets[1:][filled] - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    code = np.empty(len(start), dtype=np.uint64)
+    done = 0
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(raw)), out=sums[1:])
-        back = powers(_INVERSE, len(raw) + 1)
-        code = mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+        while done < len(start):
+            upto = max(done + 1, int(np.searchsorted(end, start[done] + _SEGMENT, side="right")))
+            lo, hi = int(start[done]), int(end[upto - 1])
+            part = raw[lo:hi]
+            if lower:
+                part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, hi - lo), out=sums[1:])
+            s, e = start[done:upto] - lo, end[done:upto] - lo
+            code[done:upto] = mix64((sums[e] - sums[s]) * _powers(_INVERSE, hi - lo + 1)[s] + (e - s).astype(np.uint64))
+            done = upto
     return start, end, code, np.searchsorted(start, offsets)
 
 

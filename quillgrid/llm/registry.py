@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .huffman import op10_token_files
+from .langid import op7_language_id
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op1_pack_documents
 from .quality import OP4_SQL, op4_quality_rules
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op1_pack_documents": op1_pack_documents,
         "op4_quality_rules": op4_quality_rules,
+        "op7_language_id": op7_language_id,
         "op9_mix_sources": op9_mix_sources,
         "op10_token_files": op10_token_files,
     }
