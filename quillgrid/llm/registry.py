@@ -7,11 +7,13 @@ from .langid import op7_language_id
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op1_pack_documents
 from .quality import OP4_SQL, op4_quality_rules
+from .substring import op3_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_pack_documents": op1_pack_documents,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op7_language_id": op7_language_id,
         "op9_mix_sources": op9_mix_sources,
