@@ -5,6 +5,7 @@ from __future__ import annotations
 from .huffman import op10_token_files
 from .langid import op7_language_id
 from .mixing import OP9_SQL, op9_mix_sources
+from .neardup import op6_near_duplicates
 from .packing import op1_pack_documents
 from .quality import OP4_SQL, op4_quality_rules
 from .substring import op3_substring_dedup
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_pack_documents": op1_pack_documents,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_language_id": op7_language_id,
         "op9_mix_sources": op9_mix_sources,
         "op10_token_files": op10_token_files,
