@@ -2,16 +2,17 @@
 
 Each distinct shingle set has ``COORDINATES`` minwise tokens. In each of ``TREES`` independent trees a
 node picks coordinates, and a document goes to the child named by its token there: two sets of
-similarity s share such a child with probability s. Nodes of at most ``SMALL`` documents are compared
-exhaustively, larger ones branch again (``BRANCHES`` coordinates), and what is still larger after
-``LEVELS`` is compared in pairs of blocks, so no pair is dropped. Each pair of similarity 0.8 meets with
-probability above 1 - 0.2 ** TREES at the first level.
+similarity s share such a child with probability s. Small nodes are compared exhaustively, crowded ones
+branch again (``BRANCHES`` coordinates), and what is still crowded after ``LEVELS`` is compared in pairs
+of blocks, so no pair is dropped. Each pair of similarity 0.8 meets with probability above
+1 - 0.2 ** TREES at the first level.
 
 Only documents of different components need comparing. So a first pass links each document to its node's
 smallest document where their sketches agree, confirms those links on the full sets, and joins them to
 components; nodes that lie within one component then drop out. This is what keeps a group of thousands of
-copies linear. Sketches (four bits a coordinate) only choose which pairs are confirmed; a confirmed link
-compares the full sets of 64-bit shingle fingerprints.
+copies linear. A node's possible links come back as stars, whose components meet once more with their
+texts. Sketches (four bits a coordinate) only choose which pairs are confirmed; a confirmed link compares
+the full sets of 64-bit shingle fingerprints.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from . import common
 COORDINATES = 128
 TREES = 8
 HUB_TREES = 3
-SMALL = 256
+#: Rows of a node that are compared at once, and how many outside its largest component make it branch.
+SMALL = 512
+MANY = 2048
 BRANCHES = 2
 LEVELS = 4
 #: How far a sketch's estimate may lie under the threshold: over four standard deviations at 0.8.
@@ -89,7 +92,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in common.slices(batch.column(1), 2 << 20):
+            for lo, hi in common.slices(batch.column(1), 1 << 20):
                 sets = list(shingles(*common.buffer_of(batch.column(1).slice(lo, hi - lo)), width))
                 filled = [i for i, s in enumerate(sets) if len(s)]
                 tokens = minwise([sets[i] for i in filled]) if filled else np.zeros((0, COORDINATES), np.uint32)
@@ -151,6 +154,14 @@ def _branch(level: int):
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, rid, label, n, tokens) with the sketch in place of the tokens."""
+    for batch in batches:
+        if batch.num_rows:
+            sketch = [r.tobytes() for r in nibbles(_rows(batch, "tokens", "<u4", COORDINATES))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "rid", "label", "n")), pa.array(sketch, pa.binary())], ["cluster", "rid", "label", "n", "sketch"])
+
+
 def _near(threshold: float):
     """Rows (hub, hub_n, hub_sketch, rid, n, sketch): the pairs whose sketches allow a link."""
 
@@ -166,23 +177,44 @@ def _near(threshold: float):
     return run
 
 
+def _reach(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest place that the pairs (i, j) connect it with."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
 def _exhaust(threshold: float):
-    """Rows sorted by node: all pairs of a node that lie in different components and may be linked."""
+    """Rows sorted by node: all pairs of a node in different components are tried on their sketches.
+
+    Returns, for each set of rows that possible links connect, a star (a, b) instead of all its pairs.
+    """
 
-    def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, rid: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        here = np.arange(len(node))
+    def stars(node: np.ndarray, label: np.ndarray, n: np.ndarray, rid: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        here, found = np.arange(len(node)), []
         for gap in range(1, len(node)):
             here = here[here + gap < len(node)]
             here = here[node[here] == node[here + gap]]
             if not len(here):
-                return
+                break
             there = here + gap
             fit = (label[here] != label[there]) & (np.minimum(n[here], n[there]) >= threshold * np.maximum(n[here], n[there]) - 1e-9)
             i, j = here[fit], there[fit]
             close = estimate(sketch[i], sketch[j]) >= threshold - SLACK
-            i, j = i[close], j[close]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j]))], ["a", "b"])
+            found.append((i[close], j[close]))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            least = _reach(len(node), i, j)
+            moved = np.flatnonzero(least != np.arange(len(node)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[least[moved]]), pa.array(rid[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -192,14 +224,100 @@ def _exhaust(threshold: float):
             now = [np.asarray(batch.column(c), dtype=np.int64) for c in ("node", "label", "n", "rid")] + [_rows(batch, "sketch", "<u8", 8)]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            yield from pairs(*(x[:cut] for x in now))
+            yield from stars(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
         if held is not None:
-            yield from pairs(*held)
+            yield from stars(*held)
+
+    return run
+
+
+def _settle(percent: int, width: int):
+    """Rows (node, label, n, rid, sketch, text) sorted by node: links between components, on the full sets.
+
+    Within a node, a pair that earlier links already connect is not needed.
+    """
+    threshold = percent / 100
+
+    def node_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        label = np.asarray([r[1] for r in rows])
+        n = np.asarray([r[2] for r in rows])
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u8").reshape(-1, 8)
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        def shingled(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = next(shingles(*common.buffer_of(pa.array([rows[i][5]], pa.string())), width))
+            return sets[i]
+
+        for i in range(len(rows) - 1):
+            rest = np.arange(i + 1, len(rows))
+            rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)]
+            rest = rest[estimate(sketch[rest], sketch[i]) >= threshold - SLACK]
+            for j in rest.tolist():
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a == b:
+                    continue
+                x, y = shingled(i), shingled(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[max(a, b)] = min(a, b)
+                    yield rows[i][3], rows[j][3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            links = list(node_links(held))
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield close()
+                    held = []
+                held.append(row)
+        if held:
+            yield close()
 
     return run
 
 
+def meetings(rows: DataFrame, group: str, small: int) -> DataFrame:
+    """``rows`` (group, rid, label, ...) dealt to nodes of bounded size in which all pairs of different labels meet.
+
+    Groups of at most ``small`` rows are one node. In larger ones, the rows of the most common label need
+    not meet each other: their chunks meet the chunks of the others, which also meet among themselves.
+    Groups of one label are left out.
+    """
+    counts = rows.groupBy(group, "label").agg(F.count("*").alias("k"))
+    stats = counts.groupBy(group).agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    stats = stats.select(group, "size", F.col("top.label").alias("major"), F.ceil(F.col("top.k") / small).cast("int").alias("chunks"), F.ceil((F.col("size") - F.col("top.k")) / small).cast("int").alias("others"))
+    met = rows.join(stats, group)
+    whole = F.col("size") <= small
+    major = F.col("label") == F.col("major")
+    mine = F.pmod(F.xxhash64("rid", F.lit("deal")), F.when(major, F.col("chunks")).otherwise(F.col("others"))).cast("int")
+    with_major = lambda c, o: F.xxhash64(F.col(group), F.lit("major"), c, o)
+    among = lambda a, b: F.xxhash64(F.col(group), F.lit("others"), F.least(a, b), F.greatest(a, b))
+    nodes = (
+        F.when(whole, F.array(F.xxhash64(group)))
+        .when(major, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: with_major(F.col("mine"), o)))
+        .otherwise(
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: with_major(c, F.col("mine"))), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: among(F.col("mine"), o))
+            )
+        )
+    )
+    keep = [c for c in rows.columns if c != group]
+    return met.withColumn("mine", F.when(~whole, mine)).withColumn("nodes", nodes).select(*keep, F.explode("nodes").alias("node"))
+
+
 def _confirm(percent: int, width: int):
     """Rows (a, b, text_a, text_b): the pairs whose full sets reach the threshold."""
 
@@ -289,23 +407,24 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     found = None
     for level in range(LEVELS):
         nodes = common.materialize(nodes, "nodes")
-        stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node", "size")
-        mixed = nodes.join(stats, "node")
-        small = mixed.where(F.col("size") <= SMALL).select("node", "label", "n", "rid", "sketch")
-        pairs = small.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_exhaust(threshold), "a long, b long").distinct()
-        found = pairs if found is None else found.union(pairs)
-        large = common.materialize(mixed.where(F.col("size") > SMALL), "large")
-        if large.isEmpty():
+        last = level == LEVELS - 1
+        tops = nodes.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.max("k").alias("k"))
+        crowded = common.materialize(tops.where((F.col("size") - F.col("k") > MANY) & F.lit(not last)).select("node"), "crowded")
+        few = meetings(nodes.join(crowded, "node", "left_anti").select("node", "label", "n", "rid", "sketch").withColumnRenamed("node", "group"), "group", SMALL)
+        stars_ = few.select("node", "label", "n", "rid", "sketch").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_exhaust(threshold), "a long, b long")
+        found = stars_ if found is None else found.union(stars_)
+        if last or crowded.isEmpty():
             break
-        if level < LEVELS - 1:
-            nodes = large.join(marked.select("rid", "tokens"), "rid").mapInArrow(_branch(level), _NODE)
-            continue
-        blocks = F.ceil(F.col("size") * 2 / SMALL).cast("int")
-        dealt = large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rid", "node"), F.col("blocks")).cast("int"))
-        paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        paired = paired.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "label", "n", "rid", "sketch")
-        found = found.union(paired.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_exhaust(threshold), "a long, b long").distinct())
-    more = confirmed(found, docs, percent, width)
+        nodes = nodes.join(crowded, "node", "left_semi").join(marked.select("rid", "tokens"), "rid").mapInArrow(_branch(level), _NODE)
+
+    # What possible links connect meets once more, now with its texts.
+    clusters = components(found)
+    members = clusters.select(F.col("id").alias("rid"), F.col("label").alias("cluster")).union(clusters.select("label", "label").distinct())
+    described_members = members.join(marked, "rid").mapInArrow(_sketched, "cluster long, rid long, label long, n long, sketch binary")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("rid"), "text")
+    dealt = meetings(described_members, "cluster", SMALL).join(texts, "rid").select("node", "label", "n", "rid", "sketch", "text")
+    settled = dealt.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_settle(percent, width), "a long, b long")
+    more = common.materialize(settled.distinct(), "links")
     final = components(links.union(more)).withColumnRenamed("id", "rid")
     by_set = reps.select("set_key", "rid").join(final, "rid", "left").select("set_key", F.coalesce("label", "rid").alias("component_id"))
     joined = described.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
