@@ -148,34 +148,37 @@ def _op4_sql() -> str:
     p = ALPHA / len(RULES)
     rejects = " OR ".join(f"coalesce({sql} > (SELECT min(cutoff) FROM certified c WHERE c.stratum IS NOT DISTINCT FROM f.stratum AND rule = '{rule}'), false)" for rule, sql in value.items())
     return rf"""
-WITH w AS (
+WITH w AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
-), win AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 7], ' ')) AS n
-  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w)
-), rep AS (
+), spread AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), gram AS (
+  SELECT r, i, word || ' ' || {" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(1, 8))} AS g FROM spread WINDOW o AS (PARTITION BY r ORDER BY i)
+), win AS MATERIALIZED (
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM gram WHERE g IS NOT NULL
+), rep AS MATERIALIZED (
   SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM win WHERE n > 1) GROUP BY r
-), f AS (
+), f AS MATERIALIZED (
   SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)
-), good AS (
+), good AS MATERIALIZED (
   SELECT * FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
-), counted AS (
+), counted AS MATERIALIZED (
   SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({pick} > cutoff) AS lost
   FROM good, (VALUES {tests}) t(rule, step, cutoff) GROUP BY ALL
-), tested AS (
+), tested AS MATERIALIZED (
   SELECT *, lost <= n * {p!r}::DOUBLE AND coalesce((
     SELECT sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) + i * ln({p!r}::DOUBLE) + (n - i) * ln(1 - {p!r}::DOUBLE)))
     FROM range(0, lost + 1) s(i)), 0) <= {DELTA / len(RULES)!r}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM good)) AS safe
   FROM counted
-), certified AS (
+), certified AS MATERIALIZED (
   SELECT stratum, rule, cutoff FROM (SELECT *, bool_and(safe) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM tested) WHERE ok
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
