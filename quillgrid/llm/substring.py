@@ -64,6 +64,7 @@ class Parsed:
     """A block's words, the named borders, and the windows."""
 
     def __init__(self, block: bytes) -> None:
+        common.enter("words")
         self.rows = pa.ipc.open_stream(block).read_all().combine_chunks()
         ids = self.rows.column("doc_id").combine_chunks() if self.rows.num_rows else pa.array([], pa.int64())
         self.valid = np.asarray(ids.is_valid())
@@ -139,8 +140,10 @@ def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
 
 def _bounds(codes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """(range, from, to) of sorted fingerprints; ranges divide the 64-bit space evenly."""
+    if not len(codes):
+        return []
     of = ((codes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     return [(int(of[a]), int(a), int(b)) for a, b in zip(head, np.append(head[1:], len(of)), strict=True)]
 
 
