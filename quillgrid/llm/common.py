@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,34 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 _fallback_dirs: dict[str, str] = {}
 
+#: Bytes of an Arrow batch between the JVM and Python; long texts would make the usual 10,000 rows too large.
+BATCH_BYTES = 8 << 20
+
+
+def settle(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are bounded more tightly."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+_working_on: list[str] = []
+_cleaners: dict[str, Callable[[], None]] = {}
+
+
+def enter(kind: str) -> None:
+    """Called by a kernel at its start: a Python worker that did other work before gives that memory back."""
+    if _working_on == [kind]:
+        return
+    for name, clean in _cleaners.items():
+        if name != kind:
+            clean()
+    _working_on[:] = [kind]
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
@@ -36,6 +67,7 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str, compression: str = "zstd", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    settle(spark)
     path = shared_dir(spark, tag)
     writer = df.write.option("compression", compression)
     if partition_by:
@@ -45,6 +77,7 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd", partition_by
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -107,7 +140,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _tables: dict[int, np.ndarray] = {}
-_SEGMENT = 1 << 22
+_cleaners["words"] = _tables.clear
+_SEGMENT = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:

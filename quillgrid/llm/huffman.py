@@ -176,9 +176,10 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_docs(lengths: np.ndarray, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("huffman")
         codes = canonical_codes(lengths)
         for batch in batches:
-            for lo, hi in common.slices(batch.column(2), 8 << 20):
+            for lo, hi in common.slices(batch.column(2), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 counts = np.asarray(part.column(1), dtype=np.int64)
                 data = part.column(2).to_pylist()

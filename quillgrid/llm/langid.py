@@ -115,6 +115,7 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, preferred_chars: int = PREFERRED_CHARS) -> Model:
     """Fit on at most ``per_lang`` texts of each language, the first by hashed doc_id, that are not held out."""
+    common.settle(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy("__long", "__key", "doc_id")
     ranked = usable.select("lang", "doc_id", (F.length("text") > preferred_chars).alias("__long"), F.md5(F.col("doc_id").cast("string")).alias("__key"))
@@ -133,6 +134,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     cache: dict[str, np.ndarray] = {}
 
     def predict(text: pa.Array, lettered: pa.Array) -> pa.Array:
+        common.enter("langid")
         if "place" not in cache:
             cache["place"] = model.table()
         names, certainty = [], []

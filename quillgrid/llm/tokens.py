@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import slices
+from . import common
 
 #: Most cached words and word parts in a Python worker; a full cache is emptied, results do not change.
-CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 400_000, 250_000
 
 _odd = re.compile("[\x1c-\x1f]").search
 #: Words of ASCII and Latin-1 letters: already in normal form C, and lower-cased letter by letter.
@@ -21,6 +21,7 @@ _plain = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 _parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
 
 _loaded: dict[str, _Words] = {}
+common._cleaners["tokens"] = _loaded.clear
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -87,6 +88,7 @@ def encode(texts: list[str | None], path: str, end_id: int | None) -> tuple[np.n
 
 def encoded(batch: pa.RecordBatch, path: str, end_id: int | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """doc_id, ids and counts of a batch (doc_id, text), a few megabytes of text at a time."""
-    for lo, hi in slices(batch.column(1)):
+    common.enter("tokens")
+    for lo, hi in common.slices(batch.column(1), 1 << 20):
         ids, counts = encode(batch.column(1).slice(lo, hi - lo).to_pylist(), path, end_id)
         yield batch.column(0).slice(lo, hi - lo), ids, counts
