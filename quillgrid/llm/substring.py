@@ -311,7 +311,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bytes_per_ra
     plain = [f"c{i}" for i in range(len(docs.columns))]
     rest = docs.toDF(*plain)
     at = {c: p for c, p in zip(docs.columns, plain, strict=True)}
-    rows = rest.select("*", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"))
+    others = [p for p in plain if p != at["text"]]
+    rows = rest.select(*others, F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"))
     found, ranges = _run(rows, block_bytes, bytes_per_range)
     names = ["__text" if p == at["text"] else p for p in plain]
     schema = T.StructType([T.StructField(n, T.StringType() if n == "__text" else rest.schema[n].dataType) for n in names])
