@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +166,107 @@ def assign_roles(columns: DataFrame, roles: DataFrame, key: list[str], **penalti
     return scored.groupBy(*key).applyInPandas(solve, f"{fields}, col {columns.schema['col'].dataType.simpleString()}, role string")
 
 
+def keyword_scores(texts: list[str], keywords: list[list[str]]) -> np.ndarray:
+    """``similarity.keyword_score`` of processed headers (rows) for the processed keywords of each role, with numpy."""
+    words = [t.split() for t in texts]
+    candidates = [w if len(w) < 2 else [*w, t] for t, w in zip(texts, words, strict=True)]
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in candidates])
+    flat = [c for cs in candidates for c in cs]
+    size = np.asarray([len(c) for c in flat], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    code = np.frombuffer("".join(flat).encode("utf-32-le"), dtype=np.uint32)
+    start, long, owner = (np.cumsum(size) - size)[order], size[order], owner[order]
+    out = np.zeros((len(texts), len(keywords)))
+    for r, k in ((r, k) for r, ks in enumerate(keywords) for k in ks):
+        letters = np.frombuffer(k.encode("utf-32-le"), dtype=np.uint32)
+        table = np.zeros((len(k) + 1, len(flat)), dtype=np.int32)
+        for at in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-long, -at, side="left"))
+            letter, above = code[start[:n] + at], table[:, :n].copy()
+            for j, x in enumerate(letters, 1):
+                table[j, :n] = np.where(letter == x, above[j - 1] + 1, np.maximum(above[j], table[j - 1, :n]))
+        equal = np.asarray([flat[i] == k for i in order], dtype=bool)
+        score = 200.0 * table[-1] / np.maximum(long + len(k), 1) / 100 * np.where((long <= 3) & ~equal, 0.2, 1.0)
+        np.maximum.at(out[:, r], owner, score)
+    out[[len(t) < 2 for t in texts]] = 0
+    return out
+
+
+def align_pages(scores: np.ndarray, min_assign: float = 0.2, skip_column: float = 0.05, skip_role: float = 0.25) -> np.ndarray:
+    """``align`` for many pages (first axis) of as many columns at once; -1 is no role."""
+    pages, n, m = scores.shape
+    best = np.zeros((n + 1, m + 1, pages))
+    move = np.zeros((n + 1, m + 1, pages), dtype=np.int8)
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if not i and not j:
+                continue
+            value, kind = np.full(pages, -np.inf), np.zeros(pages, dtype=np.int8)
+            if i and j:
+                s = scores[:, i - 1, j - 1]
+                value = np.where(s >= min_assign, best[i - 1, j - 1] + s, value)
+            for other, k in ([(best[i, j - 1] - skip_role, 1)] if j else []) + ([(best[i - 1, j] - skip_column, 2)] if i else []):
+                better = other > value
+                value, kind = np.where(better, other, value), np.where(better, np.int8(k), kind)
+            best[i, j], move[i, j] = value, kind
+    out = np.full((pages, n), -1, dtype=np.int32)
+    i, j, every = np.full(pages, n), np.full(pages, m), np.arange(pages)
+    for _ in range(n + m):
+        left = (i > 0) | (j > 0)
+        kind = move[i, j, every]
+        assign, role, column = left & (kind == 0), left & (kind == 1), left & (kind == 2)
+        out[every[assign], i[assign] - 1] = j[assign] - 1
+        i, j = i - (assign | column), j - (assign | role)
+    return out
+
+
+def _by_headers(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose second column has about ``limit`` elements; whole rows only."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0), dtype=np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def assign_roles_in_runs(rows: DataFrame, roles: DataFrame, key: str, columns_per_page: int, **penalties) -> DataFrame:
+    """``assign_roles`` for ``rows`` (key, headers, share) whose pages are runs of ``columns_per_page`` headers.
+
+    All headers become columns (key, page, col, role) and no row is exchanged. Only the form's roles come to the driver.
+    """
+    used = roles.where(F.coalesce(F.col("enabled"), F.lit(True))) if "enabled" in roles.columns else roles
+    form = used.select("role", F.transform("keywords", T.process).alias("keywords"), "width_lo", "width_hi").orderBy("pos").collect()
+    names, keywords = pa.array([r.role for r in form], pa.string()), [r.keywords for r in form]
+    widths = F.array(*[width_score(F.col("share"), F.lit(r.width_lo), F.lit(r.width_hi)) for r in form])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _by_headers(whole)):
+            headers = batch.column(1)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(headers), 0), dtype=np.int64)
+            seen = pc.dictionary_encode(headers.flatten())
+            word = np.asarray(seen.indices, dtype=np.int64)
+            width = np.asarray(batch.column(2).flatten()).reshape(len(counts), -1)
+            by_word = keyword_scores(seen.dictionary.to_pylist(), keywords)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
+            page, col = place // columns_per_page, place % columns_per_page
+            first = np.flatnonzero(col == 0)
+            size = np.diff(np.append(first, len(word)))
+            chosen = np.full(len(word), -1, dtype=np.int32)
+            for n in np.unique(size):
+                for some in np.array_split(first[size == n], 1 + np.count_nonzero(size == n) // 4096):
+                    at = some[:, None] + np.arange(n)
+                    chosen[at] = align_pages(0.75 * by_word[word[at]] + 0.25 * width[owner[some], None, :], **penalties)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), pa.array(page.astype(np.int32)), pa.array(col.astype(np.int32)), names.take(pa.array(chosen, mask=chosen < 0))],
+                [key, "page", "col", "role"],
+            )
+
+    ready = rows.select(key, F.transform("headers", T.process).alias("headers"), widths.alias("widths"))
+    return ready.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, page int, col int, role string")
+
+
 def one_hot(role: Column, roles: list[str]) -> dict[str, Column]:
     return {f"is_{r}_column": F.coalesce(role == r, F.lit(False)) for r in roles}
 

@@ -316,12 +316,12 @@ def template_intervals(spark, sf_dir):
 
 @query()
 def role_alignment(spark, sf_dir):
-    """Columns of a page: the first eight words of each document against the form's roles."""
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 8)
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("col", "header"), (F.col("n_chars") % 37 / 100.0 + 0.02).alias("share"))
+    """Columns of a page: each run of eight words of a document, to its last, against the form's roles."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    docs = t(spark, sf_dir, "documents").select("doc_id", words.alias("headers"), (F.col("n_chars") % 37 / 100.0 + 0.02).alias("share"))
     roles = [("batch", ["bague", "ring"], 0.04, 0.14), ("species", ["espece", "the"], 0.15, 0.38), ("sexe", ["sexe", "sex"], 0.03, 0.11), ("age", ["age"], 0.05, 0.14), ("aile", ["aile", "elle"], 0.04, 0.13), ("poids", ["poids", "pour"], 0.03, 0.12)]
     dim = spark.createDataFrame([(i, *r) for i, r in enumerate(roles)], "pos int, role string, keywords array<string>, width_lo double, width_hi double")
-    return layout.assign_roles(docs, F.broadcast(dim), ["doc_id"])
+    return layout.assign_roles_in_runs(docs, dim, "doc_id", 8)
 
 
 # --- Views, catalogues, edits, evaluation ----------------------------------------------------------
