@@ -85,6 +85,7 @@ def records(pages: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
 
     Of equal payloads of at least ``dedup_bytes`` the largest page_id is the response and the others
     revisit it (equal: same length, SHA-1 and SHA-256). Null html is an empty payload, null url an empty target.
+    A null date leaves the WARC-Date header out; the index then has a null date, before the others of its URL.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     data = pages.withColumn("body", body).withColumn("size", F.octet_length("body").cast("long")).withColumn("sha1", F.sha1("body"))
@@ -101,7 +102,7 @@ def records(pages: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
-        line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.coalesce(line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("")),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), hex_digest)),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
@@ -140,7 +141,7 @@ _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
 def _order(row: tuple) -> tuple:
-    return row[0], row[1], len(row[2]), row[2]
+    return row[0], row[1] or "", len(row[2]), row[2]
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"damaged record at {at} of {path}")
                 url = fields["WARC-Target-URI"]
-                run.append((url_key(url), fields["WARC-Date"], fields["WARC-Record-ID"], url, fields["WARC-Type"], digest, int(fields["X-Payload-Length"]), fields.get("WARC-Refers-To"), path, at))
+                run.append((url_key(url), fields.get("WARC-Date"), fields["WARC-Record-ID"], url, fields["WARC-Type"], digest, int(fields["X-Payload-Length"]), fields.get("WARC-Refers-To"), path, at))
             run.sort(key=_order)
             yield from _batches(iter(run), _ARROW)
 

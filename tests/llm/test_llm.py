@@ -211,6 +211,15 @@ def test_warc(spark):
     assert warc.read_index(spark, warc.write_archives(pages.where("false"))).count() == 0
 
 
+def test_warc_without_date(spark):
+    rows = [(1, "http://a.org/", "x", 1_600_000_000), (2, "http://a.org/", "y", None), (3, "http://b.org/", "é" * 600, None), (4, "http://b.org/", "é" * 600, 1_600_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long").withColumn("date", F.timestamp_seconds("at"))
+    assert warc.records(pages).where("value is null").count() == 0
+    index = warc.read_index(spark, warc.write_archives(pages)).collect()
+    assert [(r.record_id, r.date is None) for r in index] == [("<urn:page:2>", True), ("<urn:page:1>", False), ("<urn:page:3>", True), ("<urn:page:4>", False)]
+    assert [r.record_type for r in index] == ["response", "response", "revisit", "response"]
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
