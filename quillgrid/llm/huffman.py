@@ -1,7 +1,7 @@
 """Token-id files: canonical length-limited Huffman coding with bit-offset checkpoints.
 
-A file set is a table of blocks plus one code table. Each block is one byte string that decodes on
-its own (given the code lengths):
+A file set is a folder of two tables: ``blocks``, and ``code`` with the length of each id's code and
+which id ends a document. Each block is one byte string that decodes on its own (given the code lengths):
 
     magic b"QGH1", then little-endian unsigned 32-bit: documents, checkpoint interval K, checkpoints,
     payload bytes; int64 document ids; uint32 token counts; uint64 bit offset of every K-th token of
@@ -207,6 +207,7 @@ def _encode_docs(lengths: np.ndarray, bounds: np.ndarray):
 
 
 _BLOCKS = "part int, block int, first long, n_docs int, n_tokens long, nulls binary, data binary"
+_CODE = "id long, bits int, is_end boolean"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +257,15 @@ def _decode(lengths: np.ndarray):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, docs_per_part: int = 8192) -> tuple[DataFrame, np.ndarray]:
-    """Encode ``docs`` (doc_id, text) and write the blocks; returns the written blocks and the code lengths.
+def write_token_folder(docs: DataFrame, path: str | None = None, end_id: int = 1, docs_per_part: int = 8192) -> str:
+    """Encode ``docs`` (doc_id, text) and write the blocks and the code; returns their folder.
 
     Only the id counts (at most one row for each id of the vocabulary) and the range bounds of the
     parts (one for ``docs_per_part`` documents) come to the driver. Null text is empty (its end id is
     still written), null doc_id sorts first; rows with the same doc_id follow each other, the shorter first.
     """
     path = path or tokens.tokenizer_path()
+    spark = docs.sparkSession
     ids = common.materialize(docs.mapInArrow(_ids_of_texts(path, end_id), "doc_id long, n_tokens long, ids binary"), "ids")
     found = ids.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in found), default=0) + 1, dtype=np.int64)
@@ -275,7 +277,32 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1,
     bounds = np.unique(np.asarray(cuts, dtype=np.int64))
     coded = ids.mapInArrow(_encode_docs(lengths, bounds), "part int, doc_id long, n_tokens long, payload binary, marks binary")
     parts = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "payload")
-    return common.materialize(parts.mapInArrow(_blocks, _BLOCKS), "token-files", "none"), lengths
+    folder = common.shared_dir(spark, "token-files")
+    code = {int(i): int(lengths[i]) for i in np.flatnonzero(lengths)}
+    code.setdefault(end_id, 0)
+    spark.createDataFrame([(i, n, i == end_id) for i, n in code.items()], _CODE).coalesce(1).write.parquet(f"{folder}/code")
+    parts.mapInArrow(_blocks, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    return folder
+
+
+def read_code(spark, folder: str) -> tuple[np.ndarray, int]:
+    """The code lengths of a folder of token files, by id, and the id that ends a document."""
+    rows = spark.read.schema(_CODE).parquet(f"{folder}/code").collect()
+    lengths = np.zeros(max(r.id for r in rows) + 1, dtype=np.uint8)
+    for r in rows:
+        lengths[r.id] = r.bits
+    return lengths, next(r.id for r in rows if r.is_end)
+
+
+def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, docs_per_part: int = 8192) -> tuple[DataFrame, np.ndarray]:
+    """``write_token_folder``; returns the written blocks and the written code lengths."""
+    folder = write_token_folder(docs, path, end_id, docs_per_part)
+    return docs.sparkSession.read.schema(_BLOCKS).parquet(f"{folder}/blocks"), read_code(docs.sparkSession, folder)[0]
+
+
+def read_token_folder(spark, folder: str) -> DataFrame:
+    """``read_token_files`` from the files alone."""
+    return read_token_files(spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks"), read_code(spark, folder)[0])
 
 
 def read_token_files(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -299,5 +326,4 @@ def huffman_cost(counts: np.ndarray) -> int:
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` written as Huffman-coded token-id files and read back from them."""
-    blocks, lengths = write_token_files(common.documents(common.table(spark, sf_dir, "documents")))
-    return read_token_files(blocks, lengths)
+    return read_token_folder(spark, write_token_folder(common.documents(common.table(spark, sf_dir, "documents"))))

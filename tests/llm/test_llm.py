@@ -90,6 +90,17 @@ def test_token_files(spark, odd):
     assert huffman.read_token_files(blocks, lengths).count() == 0
 
 
+def test_token_files_read_from_their_folder(spark, odd):
+    folder = huffman.write_token_folder(common.documents(table(spark, odd)), end_id=3, docs_per_part=4)
+    got = huffman.read_token_folder(spark.newSession(), folder).collect()
+    want = sorted((d, len(i), zlib.crc32(i.tobytes())) for (d, _, _), i in zip(odd, ids_of(odd, 3), strict=True))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    lengths, end = huffman.read_code(spark, folder)
+    assert end == 3 and set(np.flatnonzero(lengths)) == {x for i in ids_of(odd, 3) for x in i.tolist()}
+    empty = huffman.write_token_folder(common.documents(table(spark, [])), end_id=3)
+    assert huffman.read_token_folder(spark, empty).count() == 0 and huffman.read_code(spark, empty)[1] == 3
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
 def test_codes(n):
     counts = np.random.default_rng(n).zipf(1.3, n).clip(1, 10**9)
