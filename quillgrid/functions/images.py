@@ -121,6 +121,15 @@ def ink_share(pixels: Column, dark: float) -> Column:
     return F.size(F.filter(pixels, lambda p: p < dark)) / F.greatest(F.size(pixels), F.lit(1))
 
 
+def pixel_gate(pixels: Column, dark: float, threshold: float) -> Column:
+    """``is_blank`` of an array column drawn as a crop of two tones, repeated to the 20 pixels a side that the gate needs."""
+    row = F.array_join(F.transform(pixels, lambda p: F.when(p < dark, "00").otherwise("ff")), "")
+    times = F.ceil(F.lit(20) / F.greatest(F.size(pixels), F.lit(1))).cast("int")
+    image = F.unhex(F.repeat(row, F.lit(20) * times))
+    blank = _gate(lambda g: is_blank(g, threshold, 0, 0))(image, F.lit(20), F.size(pixels) * times)
+    return F.when(F.size(pixels) > 0, blank).when(F.size(pixels) == 0, F.lit(False))
+
+
 def apply_blank_gate(cells):
     """Blank cells become final: empty text, score -1."""
     blank = F.coalesce(F.col("__blank"), F.lit(True))

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import similarity
+from .functions import images, similarity
 from .functions import text as T
 from .operators import catalog, consensus, detections, edits, evaluate, layout, sequence, view
 from .sources.readers import html_title
@@ -461,7 +461,8 @@ def kfold_split(spark, sf_dir):
 @query("SELECT vec_id, len(list_filter(embedding, lambda p: p < 0))::INTEGER AS dark, len(list_filter(embedding, lambda p: p < -0.1)) * 100 < 20 * len(embedding) AS is_blank FROM embeddings")
 def ink_gates(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.size(F.filter("embedding", lambda p: p < 0)).alias("dark"), (F.size(F.filter("embedding", lambda p: p < -0.1)) * 100 < F.size("embedding") * 20).alias("is_blank"))
+    dark = F.round(images.ink_share(F.col("embedding"), 0) * F.size("embedding")).cast("int")
+    return e.select("vec_id", dark.alias("dark"), images.pixel_gate(F.col("embedding"), -0.1, 0.2).alias("is_blank"))
 
 
 @query("SELECT vec_id, CASE WHEN list_max(embedding[1:3]) >= 0.05 THEN (['m', '', 'f'])[list_position(embedding[1:3], list_max(embedding[1:3]))] END AS label FROM embeddings")
