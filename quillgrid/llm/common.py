@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,10 +113,6 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (fixed multipliers of a public mixer)."""
     x = x ^ (x >> np.uint64(30))
@@ -125,39 +122,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        done = 1
-        step = base
-        while done < n:
-            take = min(done, n - done)
-            out[done : done + take] = out[:take] * step
-            done += take
-            step = step * step
-    return out
-
-
-_tables: dict[int, np.ndarray] = {}
-_cleaners["words"] = _tables.clear
-_SEGMENT = 1 << 20
+#: Words longer than this are hashed as a whole by BLAKE2b.
+_LONG_WORD = 64
+_KEEP = np.asarray([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first powers of ``base``, kept for the next call."""
-    if len(_tables.get(int(base), ())) < n:
-        with np.errstate(over="ignore"):
-            _tables[int(base)] = powers(base, max(n, 1 << 16))
-    return _tables[int(base)][:n]
-
-
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all rows of a buffer: byte start, byte end, 64-bit fingerprint, and the first word of each row.
-
-    Separators never occur inside a UTF-8 sequence, so bytes can be compared. A word's fingerprint depends
-    on its bytes alone. ``lower`` folds A-Z first. Works through segments of a few megabytes, cut between
-    words, so that memory stays small beside the text.
+def _fingerprints(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, seed: int) -> np.ndarray:
+    """64-bit keyed hashes of the byte strings raw[start:end], eight bytes at a time, each step through the mixer."""
+    data = np.zeros(len(raw) + 8, dtype=np.uint8)
+    data[: len(raw)] = raw
+    if lower:
+        data += ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=data, strides=(1,))
+    size = end - start
+    key = mix64(np.asarray([seed + 1], dtype=np.uint64))[0]
+    with np.errstate(over="ignore"):
+        code = mix64((eight[start] & _KEEP[np.minimum(size, 8)]) ^ (key + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        more = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+        for at in range(8, _LONG_WORD, 8):
+            more = more[size[more] > at]
+            if not len(more):
+                break
+            code[more] = mix64(code[more] * np.uint64(0xD6E8FEB86659FD93) + (eight[start[more] + at] & _KEEP[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=int(key).to_bytes(8, "little")).digest()
+        code[i] = np.frombuffer(digest, dtype="<u8")[0]
+    return code
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """Words of all rows of a buffer: byte start, byte end, first word of each row, then a 64-bit fingerprint per seed.
+
+    Separators never occur inside a UTF-8 sequence, so bytes can be compared. A fingerprint depends on the
+    word's bytes and the seed alone; those of two seeds are independent. ``lower`` folds A-Z first.
     """
     ink = ~_IS_SPACE[raw]
     begin, stop = ink.copy(), ink.copy()
@@ -167,21 +164,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple
     begin[offsets[:-1][filled]] = ink[offsets[:-1][filled]]
     stop[offsets[1:][filled] - 1] = ink[offsets[1:][filled] - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    code = np.empty(len(start), dtype=np.uint64)
-    done = 0
-    with np.errstate(over="ignore"):
-        while done < len(start):
-            upto = max(done + 1, int(np.searchsorted(end, start[done] + _SEGMENT, side="right")))
-            lo, hi = int(start[done]), int(end[upto - 1])
-            part = raw[lo:hi]
-            if lower:
-                part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, hi - lo), out=sums[1:])
-            s, e = start[done:upto] - lo, end[done:upto] - lo
-            code[done:upto] = mix64((sums[e] - sums[s]) * _powers(_INVERSE, hi - lo + 1)[s] + (e - s).astype(np.uint64))
-            done = upto
-    return start, end, code, np.searchsorted(start, offsets)
+    return (start, end, np.searchsorted(start, offsets), *(_fingerprints(raw, start, end, lower, seed) for seed in seeds))
 
 
 def chain(code: np.ndarray, n: int) -> np.ndarray:

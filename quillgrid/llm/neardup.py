@@ -46,7 +46,7 @@ _FIRST = _rng.permutation(COORDINATES)[:TREES]
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Each row's distinct word shingles as sorted fingerprints; fewer words than ``width`` are one shingle."""
-    _, _, code, first = common.words_of(raw, offsets, lower=True)
+    _, _, first, code = common.words_of(raw, offsets, lower=True)
     wide = common.chain(code, width)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:

@@ -70,7 +70,7 @@ class Parsed:
         self.valid = np.asarray(ids.is_valid())
         self.doc_id = np.asarray(ids.fill_null(0), dtype=np.int64)
         self.raw, offsets = common.buffer_of(self.rows.column("text"))
-        self.start, self.end, self.code, self.first = common.words_of(self.raw, offsets)
+        self.start, self.end, self.first, self.code, self.check = common.words_of(self.raw, offsets, seeds=(0, 1))
         n_words = np.diff(self.first)
         self.row = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
         stop = np.repeat(self.first[1:], n_words)
@@ -98,7 +98,7 @@ class Parsed:
         so_far = np.cumsum(alone)
         p = self.window
         p = p[so_far[p + WINDOW - REACH + 1] == so_far[p + REACH]]
-        code = common.chain(self.code, WINDOW)[p] if len(p) else np.zeros(0, np.uint64)
+        code = common.chain(self.check, WINDOW)[p] if len(p) else np.zeros(0, np.uint64)
         found, at = np.unique(code, return_inverse=True)
         least = np.full(len(found), np.iinfo(np.int64).max)
         np.minimum.at(least, at, self.doc_id[self.row[p]])

@@ -4,6 +4,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,33 @@ def test_substrings_odd(spark, odd):
     assert substring.remove_repeats(table(spark, [])).count() == 0
 
 
+def thue_morse(letters, n=1024):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words: equal sums for every base, so fingerprints must not be polynomials modulo a power of two."""
+    text = lambda odd: " ".join([f"w{i}" for i in range(12)] + [odd])
+    rows = [(1, text(thue_morse("ab"))), (2, text(thue_morse("ba"))), (3, text(thue_morse("ab", 64))), (4, text(thue_morse("ba", 64)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring.removed_words(df).collect())) == brute.removed(rows)
+    some = [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, thue_morse("ab", 32)), (4, thue_morse("ba", 32))]
+    assert sorted(map(tuple, neardup.link(spark.createDataFrame(some, "doc_id long, text string"), 80, 2).collect())) == brute.linked(some)
+
+
+def test_fingerprints_depend_on_bytes_and_seed():
+    rng = random.Random(9)
+    some = sorted({"".join(rng.choices("abAB\u00e9\u65e5", k=rng.choice([1, 2, 7, 8, 9, 16, 31, 64, 65, 200]))) for _ in range(4000)})
+    pieces = pa.array([" ".join(some), " \n " + "\t".join(reversed(some)) + " "], pa.string())
+    start, end, first, one, two = common.words_of(*common.buffer_of(pieces), seeds=(0, 1))
+    assert first.tolist() == [0, len(some), 2 * len(some)]
+    for code in (one, two):
+        assert code[: len(some)].tolist() == code[len(some) :][::-1].tolist() and len(set(code.tolist())) == len(some)
+    assert not set(one.tolist()) & set(two.tolist())
+    folded = common.words_of(*common.buffer_of(pieces), lower=True)[3]
+    assert len(set(folded.tolist())) == len({x.translate(brute.FOLD) for x in some})
+
+
 def near_rows():
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -253,11 +281,42 @@ def test_vectors(spark):
     assert {r.query_id for r in got} == {0, 100, 200}
     tree = vptree.Tree.build(np.arange(300), p, 16)
     ids = np.arange(0, 300, 10)
-    exact, _, all_work = tree.search(ids, p[ids], 10, 1.0)
-    relaxed, _, work = tree.search(ids, p[ids], 10, 1.5)
+    exact, _, _, all_work = tree.search(ids, p[ids], 10, 1.0)
+    relaxed, _, _, work = tree.search(ids, p[ids], 10, 1.5)
     assert work < all_work and np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact, relaxed, strict=True)]) >= 0.9
 
 
+def test_vectors_in_cells(spark):
+    """Clusters in many cells, with copies, repeated ids and two dimensions: equal to brute force, and bounds rule cells out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 5)) * 20
+    points = np.concatenate([c + rng.normal(size=(70, 5)) for c in centres])
+    points[10:30] = points[5]
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(1000 + i, p.tolist()[:3]) for i, p in enumerate(points[:7])]
+    df = spark.createDataFrame([*rows, (20, [1e6] * 5), rows[3], rows[3]], "vec_id long, embedding array<double>").repartition(3)
+    got = vptree.nearest(vptree.valid_vectors(df), F.col("vec_id") % 20 == 0, shard_rows=40, query_rows=3).collect()
+    said = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        said.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(said) == {*range(0, 420, 20), 1000}
+    for q, found in said.items():
+        some = {i: np.asarray(p) for i, p in rows if len(p) == len(dict(rows)[q]) and i != q}
+        d = sorted((float(np.sqrt(((p - np.asarray(dict(rows)[q])) ** 2).sum())), i) for i, p in some.items())[:10]
+        assert [i for i, _ in found] == [i for _, i in d] and np.allclose([x for _, x in found], [x for x, _ in d])
+    cells = vptree.Cells.fit(points, 6)
+    assert cells.n == 6 and len(list(cells.within(points[:1], np.asarray([8.0]), 1.0))) < 6
+
+
+def test_vectors_beyond_the_range_of_squares(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e200, 1e190]), (3, [1.7e308, 0.0]), (4, [-1.7e308, 0.0]), (100, [1e-200, 0.0]), (101, [3e-200, 0.0]), (102, [0.0, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(vptree.valid_vectors(df), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == [2, 100, 101, 102, 1, 3, 4]
+    assert [r.score for r in got if r.query_id == 0][::4] == [1e190, 2e200]
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 100][:2] == [(102, pytest.approx(2**0.5 * 1e-200)), (101, 2e-200)]
+    assert len(got) == 14
+
+
 def test_chat(spark):
     def conv(i, *texts):
         return [(i, k, "user", t) for k, t in enumerate(texts)]
