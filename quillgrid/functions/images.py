@@ -78,6 +78,47 @@ def strip_borders(gray: np.ndarray) -> np.ndarray:
     return out
 
 
+def crop_center(gray: np.ndarray, width: int = 200, height: int = 50) -> np.ndarray:
+    h, w = gray.shape
+    x, y = max(0, (w - width) // 2), max(0, (h - height) // 2)
+    return gray[y : y + height, x : x + width]
+
+
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of four neighbours for a place ``t`` past the second one (cubic convolution, a = -0.75)."""
+    a = -0.75
+    far = lambda x: ((a * x - 5 * a) * x + 8 * a) * x - 4 * a
+    near = lambda x: ((a + 2) * x - (a + 3)) * x * x + 1
+    return [far(t + 1), near(t), near(1 - t), far(2 - t)]
+
+
+def rotate(gray: np.ndarray, degrees: float) -> np.ndarray:
+    """Turn about the top left corner, cubic interpolation, edge pixels continued outside."""
+    h, w = gray.shape
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    sx, sy = c * x - s * y, s * x + c * y
+    ix, iy = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
+    wx, wy = _cubic(sx - ix), _cubic(sy - iy)
+    out = np.zeros((h, w))
+    for j in range(4):
+        rows = np.clip(iy + j - 1, 0, h - 1)
+        out += wy[j] * sum(wx[i] * gray[rows, np.clip(ix + i - 1, 0, w - 1)] for i in range(4))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def turned(image: Column, h: Column, w: Column, degrees: Column) -> Column:
+    """The crop turned by ``degrees``; unchanged where they are null or 0."""
+
+    def turn(image: pa.Array, h: pa.Array, w: pa.Array, degrees: pa.Array) -> pa.Array:
+        out = []
+        for data, rows, cols, by in zip(*(c.to_pylist() for c in (image, h, w, degrees)), strict=True):
+            out.append(rotate(np.frombuffer(data, dtype=np.uint8).reshape(rows, cols), by).tobytes() if data is not None and by else data)
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(turn, "binary")(image, h, w, degrees)
+
+
 def ditto_by_ink(gray: np.ndarray) -> bool:
     return bool(gray.size) and float((gray < 250).mean()) < 0.05
 
@@ -116,6 +157,21 @@ def ditto_gate(image: Column, h: Column, w: Column, by_shape: bool) -> Column:
     return _gate(lambda g: g is not None and (ditto_by_ink(g) or by_shape and ditto_by_shape(g)))(image, h, w)
 
 
+def mark_gate(image: Column, h: Column, w: Column) -> Column:
+    """What a crop shows: 'blank', a ditto mark by 'ink' or by 'shape', or '' for anything else; null for no crop."""
+
+    def kind(gray: np.ndarray) -> str:
+        if is_blank(gray, 0.004):
+            return "blank"
+        return "ink" if ditto_by_ink(gray) else "shape" if ditto_by_shape(gray) else ""
+
+    def gate(image: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        rows = zip(image.to_pylist(), h.to_pylist(), w.to_pylist(), strict=True)
+        return pa.array([None if data is None else kind(np.frombuffer(data, dtype=np.uint8).reshape(r, c)) for data, r, c in rows], pa.string())
+
+    return F.arrow_udf(gate, "string")(image, h, w)
+
+
 def ink_share(pixels: Column, dark: float) -> Column:
     """Share of pixels of an array column that are darker than ``dark``; stays in the JVM."""
     return F.size(F.filter(pixels, lambda p: p < dark)) / F.greatest(F.size(pixels), F.lit(1))
@@ -128,12 +184,3 @@ def pixel_gate(pixels: Column, dark: float, threshold: float) -> Column:
     image = F.unhex(F.repeat(row, F.lit(20) * times))
     blank = _gate(lambda g: is_blank(g, threshold, 0, 0))(image, F.lit(20), F.size(pixels) * times)
     return F.when(F.size(pixels) > 0, blank).when(F.size(pixels) == 0, F.lit(False))
-
-
-def apply_blank_gate(cells):
-    """Blank cells become final: empty text, score -1."""
-    blank = F.coalesce(F.col("__blank"), F.lit(True))
-    marked = cells.withColumn("__blank", blank_gate(F.col("image"), F.col("h"), F.col("w")))
-    return marked.withColumns(
-        {"is_blank": blank, "skip_ocr": blank | F.coalesce("skip_ocr", F.lit(False)), "text": F.when(blank, "").otherwise(F.col("text")), "score": F.when(blank, -1).otherwise(F.col("score"))}
-    ).drop("__blank")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +13,28 @@ DITTO = '"'
 DITTO_MARKS = ['"', "„", "''", "//", "ii", "“", "”"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body names it.
+
+    Projections that are merged, and filters that are pushed below them, would copy it once for each mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space (the built-in trim takes spaces only)."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def composed(c: Column) -> Column:
+    """Unicode normal form C. Spark has no function for it; catalogues are small."""
+
+    def nfc(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(nfc, "string")(c)
+
+
 def clean(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit(""))
 
@@ -33,10 +53,13 @@ def digits_key(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """First number in the text, comma as point; leading zeros go ('0.5' gives '.5'), trailing ones stay."""
-    number = F.replace(blank_to_null(F.regexp_extract(c, r"-?[0-9]+(?:[.,][0-9]+)?", 0)), F.lit(","), F.lit("."))
-    dotted = F.coalesce(blank_to_null(F.regexp_replace(number, "^0+", "")), F.lit("0"))
-    whole = F.regexp_replace(F.regexp_replace(number, "^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
-    return F.when(number.contains("."), dotted).when(number.isNotNull(), whole)
+
+    def rule(number: Column) -> Column:
+        dotted = F.coalesce(blank_to_null(F.ltrim(number, F.lit("0"))), F.lit("0"))
+        whole = F.regexp_replace(F.regexp_replace(number, "^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
+        return F.when(number.contains("."), dotted).when(number.startswith("0") | number.startswith("-0"), whole).otherwise(number)
+
+    return let(F.replace(blank_to_null(F.regexp_extract(c, r"-?[0-9]+(?:[.,][0-9]+)?", 0)), F.lit(","), F.lit(".")), rule)
 
 
 def compound_display(c: Column) -> Column:

@@ -28,11 +28,32 @@ def name_indices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge(default: DataFrame, custom: DataFrame) -> DataFrame:
-    """Custom entries override; blank names and the ditto mark go; normal form C by collation key."""
-    first = Window.partitionBy("name").orderBy("rank")
-    both = default.withColumn("rank", F.lit(1)).union(custom.withColumn("rank", F.lit(0))).withColumn("name", T.strip(F.col("name")))
-    usable = both.where((F.coalesce("name", F.lit("")) != "") & (F.col("name") != T.DITTO))
-    return usable.withColumn("at", F.row_number().over(first)).where("at = 1").select("name", "idx")
+    """(name, idx): custom entries override, blank names and the ditto mark go, names are in normal form C and distinct."""
+    both = default.select("name", "idx", F.lit(1).alias("rank")).union(custom.select("name", "idx", F.lit(0)))
+    usable = both.where((T.clean(F.col("name")) != "") & (F.col("name") != T.DITTO)).withColumn("name", T.composed(F.col("name")))
+    return usable.groupBy("name").agg(F.min_by("idx", F.struct("rank", "idx")).alias("idx"))
+
+
+def sorted_names(catalog: DataFrame) -> DataFrame:
+    """The names of a merged catalogue, in code point order."""
+    return catalog.select("name").distinct().orderBy("name")
+
+
+def class_labels(indices: DataFrame) -> DataFrame:
+    """Names by their index (S5); names of equal or null index by name, null ones last."""
+    return indices.orderBy(F.asc_nulls_last("idx"), "name")
+
+
+def load_options(name: str, path: str | None = None) -> list[str]:
+    """The options of a catalogue: a readable JSON list at ``path``, with "" added in front if it lacks it, else the defaults."""
+    try:
+        listed = json.loads(Path(path).read_text(encoding="utf-8")) if path else None
+    except (OSError, ValueError):
+        listed = None
+    if not isinstance(listed, list):
+        return list(OPTIONS.get(name, [""]))
+    options = [str(x) for x in listed]
+    return options if "" in options else ["", *options]
 
 
 def known(names: DataFrame, catalog: DataFrame, column: str = "name") -> DataFrame:
@@ -76,5 +97,15 @@ def remove_option(options: list[str], value: str) -> list[str]:
     return options if value == "" or value not in options else [o for o in options if o != value]
 
 
+def reset_json(path: str) -> bool:
+    """Drop a saved override; whether there was one."""
+    try:
+        Path(path).unlink()
+    except FileNotFoundError:
+        return False
+    return True
+
+
 def save_json(path: str, value) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=isinstance(value, dict)), encoding="utf-8")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import catalog as C
+from . import sequence
 
 
 def latest(edits: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
@@ -33,6 +34,43 @@ def apply(cells: DataFrame, edits: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def apply_with_anchor(cells: DataFrame, edits: DataFrame, key: tuple[str, ...] = sequence.KEY) -> DataFrame:
+    """``apply`` to ``cells`` (key, row, role, text, score, is_anchor, is_manual_edit) with number columns rebuilt.
+
+    A changed anchor of a number column (role batch) renumbers its column from the new value and is no
+    manual edit; the column's other edits are manual and survive that. Header rows (0) take no edits.
+    """
+    own = [*key, "row"]
+    first = F.min(F.when(F.col("is_anchor"), F.col("row"))).over(Window.partitionBy(*key))
+    marked = cells.withColumn("__anchor", (F.coalesce("role", F.lit("")) == "batch") & F.coalesce(F.col("row") == first, F.lit(False)))
+    last = latest(edits.where("row > 0"), own).select(*own, T.clean(F.col("value")).alias("__new"))
+    met = marked.join(last, own, "left")
+    changed = F.col("__new").isNotNull() & (F.col("__new") != T.clean(F.col("text")))
+    manual = changed & ~F.col("__anchor")
+    same = [c for c in cells.columns if c not in ("text", "score", "is_manual_edit")]
+    edited = met.select(
+        *same,
+        F.when(changed, F.col("__new")).otherwise(F.col("text")).alias("text"),
+        F.when(manual, 100).otherwise(F.col("score")).cast("int").alias("score"),
+        (F.coalesce(F.col("is_manual_edit"), F.lit(False)) | manual).alias("is_manual_edit"),
+        F.max(changed & F.col("__anchor")).over(Window.partitionBy(*key)).alias("__rebuild"),
+    )
+    columns = [*same, "text", "score", "is_manual_edit"]
+    done = sequence.rebuild(edited.where("__rebuild").drop("__rebuild"), key=key)
+    return edited.where("not __rebuild").select(*columns).union(done.select(*columns))
+
+
+def pending_species(edits: DataFrame, species: DataFrame) -> DataFrame:
+    """What is offered for saving: each unknown name once a page, with ``nth`` 1 where it is shown (names once in all)."""
+    unknown = unknown_species(edits, species)
+    return unknown.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("page")))
+
+
+def save_species(pending: DataFrame, species: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``species`` with the saved ``names`` added, and ``pending`` without any row of those names."""
+    return C.append(species, names), pending.join(names.select("name").distinct(), "name", "left_anti")
+
+
 def positions_to_rows(deltas: DataFrame, displayed: DataFrame, labels: DataFrame) -> DataFrame:
     """Deltas (display_pos, label, value, seq) as cell edits, by the shown rows (display_pos, row) and columns (label, col)."""
     return deltas.join(displayed, "display_pos").join(labels, "label").select("row", "col", "value", "seq")

@@ -34,11 +34,22 @@ def compare_voices(labelled: DataFrame, truth: str, voices: list[str]) -> DataFr
 
 
 def class_rates(df: DataFrame, label: str, hit: Column) -> DataFrame:
-    """Recognition rate of each class in thousandths, and the unweighted mean over classes under a null class."""
-    rates = df.groupBy(label).agg(F.count_if(hit).alias("hits"), F.count("*").alias("total")).withColumn("rate", F.col("hits") / F.col("total"))
-    return rates.select(F.col(label).cast("string").alias("label"), "hits", "total", F.floor(F.col("rate") * 1000).cast("long").alias("permille"))
+    """Recognition rate of each class in thousandths; the unweighted mean over classes stands under a null class."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count_if(hit).alias("hits"), F.count("*").alias("total"))
+    whole = lambda c: F.floor(c).cast("long").alias("permille")
+    rates = counts.select("label", "hits", "total", whole(F.col("hits") * 1000 / F.col("total")))
+    mean = counts.agg(F.lit(None).cast("string").alias("label"), F.sum("hits").alias("hits"), F.sum("total").alias("total"), whole(F.avg(F.col("hits") * 1000 / F.col("total"))))
+    return rates.union(mean)
 
 
 def fold(number: Column, k: int = 5, seed: int = 42) -> Column:
     """Fold of an id by plain arithmetic, the same in every engine."""
     return F.pmod(number * 2_654_435_761 + seed, F.lit(1_000_003)) % k
+
+
+def fold_metrics(history: DataFrame, loss: str, accuracy: str) -> DataFrame:
+    """Least loss and best accuracy of each fold of ``history`` (fold, ...), and their mean and population deviation under a null fold."""
+    best = history.groupBy("fold").agg(F.min(loss).alias("loss"), F.max(accuracy).alias("accuracy"))
+    none = F.lit(None).cast("double")
+    rows = best.select("fold", "loss", "accuracy", none.alias("loss_std"), none.alias("accuracy_std"))
+    return rows.union(best.agg(F.lit(None).cast(history.schema["fold"].dataType).alias("fold"), F.avg("loss"), F.avg("accuracy"), F.stddev_pop("loss"), F.stddev_pop("accuracy")))

@@ -37,26 +37,45 @@ def gap_clusters(df: DataFrame, partition: list[str], position: str, tolerance)
     return grouped.groupBy(*partition, "cluster").agg((F.sum(position) / F.count("*")).cast("int").alias("value"), F.count("*").alias("n"))
 
 
-def seed_clusters(positions: Column, tolerance: int) -> Column:
-    """Greedy seeds over an ordered array: each position joins the first seed within ``tolerance``, or becomes one.
+def seed_clusters(counted: Column, tolerance: int) -> Column:
+    """Greedy seeds over an ordered array<struct<x, n>>: each position joins the first seed within ``tolerance``, or becomes one.
 
     Returns array<struct<seed, total, n>> in order of the seeds; seeds never move.
     """
     empty = F.array().cast("array<struct<seed:bigint,total:bigint,n:bigint>>")
 
-    def place(seeds: Column, x: Column) -> Column:
-        hit = F.array_min(F.transform(seeds, lambda s, i: F.when(F.abs(x - s["seed"]) <= tolerance, i)))
-        grown = F.transform(seeds, lambda s, i: F.when(i == hit, F.struct(s["seed"].alias("seed"), (s["total"] + x).alias("total"), (s["n"] + 1).alias("n"))).otherwise(s))
-        fresh = F.struct(x.alias("seed"), x.alias("total"), F.lit(1).cast("long").alias("n"))
-        return F.when(hit.isNotNull(), grown).otherwise(F.concat(seeds, F.array(fresh)))
+    def place(seeds: Column, p: Column) -> Column:
+        x, n = p["x"], p["n"]
 
-    return F.aggregate(F.transform(positions, lambda p: p.cast("long")), empty, place)
+        def at(hit: Column) -> Column:
+            grown = F.transform(seeds, lambda s, i: F.when(i == hit, F.struct(s["seed"].alias("seed"), (s["total"] + x * n).alias("total"), (s["n"] + n).alias("n"))).otherwise(s))
+            fresh = F.struct(x.alias("seed"), (x * n).alias("total"), n.alias("n"))
+            return F.when(hit.isNotNull(), grown).otherwise(F.concat(seeds, F.array(fresh)))
+
+        return T.let(F.array_min(F.transform(seeds, lambda s, i: F.when(F.abs(x - s["seed"]) <= tolerance, i))), at)
+
+    return F.aggregate(F.transform(counted, lambda p: F.struct(p["x"].cast("long").alias("x"), p["n"].cast("long").alias("n"))), empty, place)
+
+
+def seeds_of(df: DataFrame, key: list[str], position: str, order: list[str], tolerance: int) -> DataFrame:
+    """(key, n_all, seeds): ``seed_clusters`` of each group's positions in ``order``.
+
+    A repeated position joins whatever its first occurrence joined, so equal positions are counted before
+    they meet; a group's array is as long as its distinct positions are many.
+    """
+    counted = df.groupBy(*key, F.col(position).alias("x")).agg(F.min(F.struct(*order)).alias("at"), F.count("*").alias("n"))
+    lists = counted.groupBy(*key).agg(F.sum("n").alias("n_all"), F.array_sort(F.collect_list(F.struct("at", "x", "n"))).alias("all"))
+    return lists.select(*key, "n_all", seed_clusters(F.col("all"), tolerance).alias("seeds"))
+
+
+def frequent_seeds(seeds: Column, pages: Column, share: float = 0.4) -> Column:
+    """The seeds that occur on at least the given share of pages."""
+    return F.filter(seeds, lambda s: s["n"] >= F.floor(pages * share))
 
 
 def frequent_positions(seeds: Column, pages: Column, share: float = 0.4) -> Column:
-    """Whole means of the seeds that occur on at least the given share of pages, in order."""
-    often = F.filter(seeds, lambda s: s["n"] >= F.floor(pages * share))
-    return F.array_sort(F.transform(often, lambda s: (s["total"] / s["n"]).cast("long")))
+    """Whole means of the frequent seeds, in order."""
+    return F.array_sort(F.transform(frequent_seeds(seeds, pages, share), lambda s: (s["total"] / s["n"]).cast("long")))
 
 
 def drop_narrow(positions: Column, page_width: Column, least: int) -> Column:
@@ -73,6 +92,48 @@ def drop_narrow(positions: Column, page_width: Column, least: int) -> Column:
     return F.aggregate(F.transform(positions, lambda p: p.cast("long")), state, step, lambda s: s["kept"])
 
 
+def fold_lines(lines: Column, threshold: int, least: int) -> Column:
+    """Merge an ordered array of segments struct<x0, y0, x1, y1>: near-vertical ones extend the lines that they meet.
+
+    A segment that begins above a line, near its top, becomes its top; else one that ends below it, near its
+    bottom, becomes its bottom. Each counts as a find of that line; one that extends none is a new line.
+    Returns the lines with at least ``least`` finds.
+    """
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double,found:int>>"
+    points = ("x0", "y0", "x1", "y1")
+    made = lambda values, found: F.struct(*[v.alias(n) for n, v in zip(points, values, strict=True)], found.alias("found"))
+
+    def meet(held: Column, s: Column) -> Column:
+        above = lambda v: (s["y0"] < v["y0"]) & (F.abs(v["x0"] - s["x0"]) < threshold)
+        below = lambda v: (s["y1"] > v["y1"]) & (F.abs(v["x1"] - s["x1"]) < threshold)
+        grown = F.transform(
+            held,
+            lambda v: F.when(above(v), made([s["x0"], s["y0"], v["x1"], v["y1"]], v["found"] + 1))
+            .when(below(v), made([v["x0"], v["y0"], s["x1"], s["y1"]], v["found"] + 1))
+            .otherwise(v),
+        )
+        fresh = F.array(made([s[n] for n in points], F.lit(0)))
+        return F.when(F.exists(held, lambda v: above(v) | below(v)), grown).otherwise(F.concat(held, fresh))
+
+    upright = F.filter(lines, lambda s: F.abs(s["x1"] - s["x0"]) < threshold)
+    doubles = F.transform(upright, lambda s: F.struct(*[s[n].cast("double").alias(n) for n in points]))
+    return F.filter(F.aggregate(doubles, F.array().cast(kind), meet), lambda v: v["found"] >= least)
+
+
+def skew(lines: Column) -> Column:
+    """Degrees by which a page is turned so that the leftmost of its folded lines is upright; null without lines."""
+    first = F.get(F.array_sort(lines), F.lit(0))
+    slope = F.when(first["x1"] == first["x0"], -90.0).otherwise(F.degrees(F.atan((first["y1"] - first["y0"]) / (first["x1"] - first["x0"]))))
+    turned = lambda a: F.when(a > 0, 90 - a).otherwise(a)
+    return T.let(T.let(slope, turned), lambda a: F.when(a < 0, a + 90).otherwise(a))
+
+
+def header_pick(cropped: Column, full: Column) -> Column:
+    """The longer of two reads of a header, trimmed; the full one if they are as long."""
+    a, b = T.clean(cropped), T.clean(full)
+    return F.when(F.length(b) >= F.length(a), b).otherwise(a)
+
+
 def template_intervals(positions: Column, extent: Column, overlap: int = 5, least: int = 1) -> Column:
     """array<struct<i, lo, hi>> of the strips between template lines, overlapping and clamped."""
     edges = F.concat(F.array(F.lit(None).cast("long")), F.transform(positions, lambda p: p.cast("long")), F.array(F.lit(None).cast("long")))
@@ -100,6 +161,14 @@ def clamp_box(df: DataFrame, pad: int = 10) -> DataFrame:
     )
 
 
+def table_crops(pages: DataFrame, boxes: DataFrame, pad: int = 10) -> DataFrame:
+    """``clamp_box`` of each of ``pages`` (doc_id, page, w, h); a page without a box stops the job, as nothing after it could work."""
+    crops = clamp_box(boxes.join(pages.select("doc_id", "page", "w", "h"), ["doc_id", "page"]), pad)
+    met = pages.join(crops, ["doc_id", "page"], "left")
+    missing = F.raise_error(F.concat(F.lit("no table on page "), F.col("page").cast("string"), F.lit(" of "), F.col("doc_id").cast("string")))
+    return met.select("doc_id", "page", *[F.coalesce(F.col(c), missing.cast("long")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def width_score(share: Column, lo: Column, hi: Column) -> Column:
     band = F.greatest(hi - lo, F.lit(1e-6))
     off = F.when(share < lo, lo - share).otherwise(share - hi)
@@ -302,23 +371,26 @@ def ragged_mean(df: DataFrame, key: list[str], values: str) -> DataFrame:
     return df.select(*key, F.posexplode(values).alias("ordinal", "v")).groupBy(*key, "ordinal").agg(F.avg("v").alias("mean"))
 
 
-def nearest_width(targets: list[float], widths: list[float]) -> list[int | None]:
-    """For each target width, the nearest unused one if it is within half of the target."""
-    free, out = set(range(len(widths))), []
-    for t in targets:
-        best = min(free, key=lambda i: (abs(widths[i] - t), i), default=None)
-        if best is not None and abs(widths[best] - t) <= 0.5 * t:
-            free.discard(best)
-            out.append(best)
-        else:
-            out.append(None)
-    return out
+def nearest_widths(targets: Column, widths: Column) -> Column:
+    """For each target width in order, the place of the nearest unused width if it is within half of the target, else null."""
+
+    def choose(taken: Column, target: Column) -> Column:
+        free = F.filter(F.transform(widths, lambda w, i: F.struct(F.abs(w - target).alias("off"), i.alias("i"))), lambda c: ~F.coalesce(F.array_contains(taken, c["i"]), F.lit(False)))
+        best = lambda b: F.concat(taken, F.array(F.when(b["off"] <= target * 0.5, b["i"])))
+        return T.let(F.array_min(free), best)
+
+    return F.aggregate(targets, F.array().cast("array<int>"), choose)
+
+
+def usual_count(values: str) -> Column:
+    """Whole median of the lengths of the arrays in a column: how many columns a form has."""
+    return F.floor(F.median(F.size(values))).cast("int")
 
 
-def split_tall_rows(df: DataFrame, partition: list[str]) -> DataFrame:
-    """Row strips (lo, hi) of at least 1.75 median heights are cut into median-sized pieces."""
+def split_tall_rows(df: DataFrame, partition: list[str], least: int = 30) -> DataFrame:
+    """Row strips (lo, hi) of at least 1.75 median heights are cut into median-sized pieces; those of ``least`` or less go first."""
     part = Window.partitionBy(*partition)
-    tall = df.withColumn("median", F.median(F.col("hi") - F.col("lo")).over(part))
+    tall = df.where(F.col("hi") - F.col("lo") > least).withColumn("median", F.median(F.col("hi") - F.col("lo")).over(part))
     pieces = F.when(F.col("hi") - F.col("lo") >= 1.75 * F.col("median"), F.greatest(F.lit(1), F.round((F.col("hi") - F.col("lo")) / F.col("median")).cast("int"))).otherwise(1)
     cut = tall.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     height = (F.col("hi") - F.col("lo")) / F.col("pieces")

@@ -42,6 +42,24 @@ def row_confidence(cells: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("level", level(F.col("score")))
 
 
+#: The sign of each level, and of a row with alternatives.
+SIGNS = {"green": "🟢", "yellow": "🟡", "red": "🔴", "white": "⬜"}
+CHOICE = "↔"
+
+
+def status_columns(rows: DataFrame, confidence: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the sign of their level in front; a last column marks rows with alternatives, if any row has some.
+
+    Whether that column exists depends on the data, so one row of ``confidence`` is asked for.
+    """
+    sign = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    met = rows.join(confidence.select(*key, "level", "has_alternatives"), key, "left")
+    first = F.coalesce(F.try_element_at(sign, F.col("level")), F.lit(SIGNS["white"])).alias("✓")
+    if confidence.where("has_alternatives").isEmpty():
+        return met.select(first, *rows.columns)
+    return met.select(first, *rows.columns, F.when(F.col("has_alternatives"), CHOICE).otherwise("").alias("⚠"))
+
+
 def tallies(cells: DataFrame, doc: str, page: str) -> DataFrame:
     """Counts by confidence for each page and for the whole document (page null), in one pass."""
     empty = F.coalesce(F.col("text"), F.lit("")) == ""

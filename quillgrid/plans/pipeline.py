@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -61,6 +62,15 @@ class Pipeline:
         return next((results[s.name] for s in reversed(self.stages) if s.name in results), None)
 
 
+def check_environment(required: dict[str, str], optional: dict[str, str] | None = None) -> None:
+    """Raise if one of the ``required`` files (what it is for -> path) is missing; a missing optional one is a warning."""
+    if missing := {k: p for k, p in required.items() if not os.path.exists(p)}:
+        raise FileNotFoundError(f"missing: {missing}")
+    for what, path in (optional or {}).items():
+        if not os.path.exists(path):
+            log.warning("%s: %s is missing; stages that need it are left out", what, path)
+
+
 class Recognisers:
     """Registry of pluggable recognisers; one that is missing leaves cells as they are."""
 

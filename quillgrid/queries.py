@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from .functions import images, similarity
 from .functions import text as T
 from .operators import catalog, consensus, detections, edits, evaluate, layout, sequence, view
 from .sources.readers import html_title
-from .streaming.edits import latest_by_cell
+from .streaming.edits import merge_batches, shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -295,9 +293,8 @@ h AS (SELECT p_brand, x, (list_filter(seeds, lambda s: abs(s - x) <= 8))[1] AS s
 SELECT p_brand, seed, count(*) AS n, (sum(x)::BIGINT // count(*)) AS mean FROM h GROUP BY p_brand, seed, n_all HAVING count(*) >= n_all // 10
 """)
 def seed_cluster(spark, sf_dir):
-    sizes = t(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("all"))
-    seeds = sizes.select("p_brand", F.size("all").alias("n_all"), layout.seed_clusters(F.transform("all", lambda x: x["p_size"]), 8).alias("seeds"))
-    each = seeds.select("p_brand", "n_all", F.explode("seeds").alias("s")).where(F.col("s.n") >= F.floor(F.col("n_all") / 10))
+    seeds = layout.seeds_of(t(spark, sf_dir, "part"), ["p_brand"], "p_size", ["p_partkey"], 8)
+    each = seeds.select("p_brand", F.explode(layout.frequent_seeds(F.col("seeds"), F.col("n_all"), 0.1)).alias("s"))
     return each.select("p_brand", F.col("s.seed").alias("seed"), F.col("s.n").alias("n"), F.floor(F.col("s.total") / F.col("s.n")).cast("long").alias("mean"))
 
 
@@ -355,11 +352,20 @@ def review_items(spark, sf_dir):
     return view.review_items(decided, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], limit=None)
 
 
-@query(f"""WITH {_ORDER_SQL} SELECT l_orderkey, coalesce(max(l_partkey) FILTER (row = 1)::VARCHAR, '') AS "Bague", coalesce(max(l_partkey) FILTER (row = 2)::VARCHAR, '') AS "Sexe", coalesce(max(l_partkey) FILTER (row = 3)::VARCHAR, '') AS "Aile" FROM c WHERE row <= 3 GROUP BY 1""")
+_LABELS = list(view.LABELS.values())
+
+
+@query(
+    f"""WITH {_ORDER_SQL} SELECT l_orderkey, ((row - 1) // 8 + 1)::INTEGER AS row, """
+    + ", ".join(f"""coalesce(max(l_partkey) FILTER ((row - 1) % 8 = {i})::VARCHAR, '') AS "{label}\"""" for i, label in enumerate(_LABELS))
+    + " FROM c GROUP BY 1, 2"
+)
 def page_pivot(spark, sf_dir):
-    roles = F.element_at(F.array(F.lit("Bague"), F.lit("Sexe"), F.lit("Aile")), F.col("row"))
-    cells = _order_cells(spark, sf_dir).where("row <= 3").select("l_orderkey", roles.alias("label"), F.lit(1).alias("row"), F.col("l_partkey").cast("string").alias("text"))
-    return view.page_pivot(cells, ["l_orderkey"], ["Bague", "Sexe", "Aile"]).drop("row")
+    """The lines of an order fill the eight columns of a form, row after row."""
+    place = F.col("row") - 1
+    label = F.get(F.array(*[F.lit(x) for x in _LABELS]), place % len(_LABELS))
+    cells = _order_cells(spark, sf_dir).select("l_orderkey", label.alias("label"), (F.floor(place / len(_LABELS)) + 1).cast("int").alias("row"), F.col("l_partkey").cast("string").alias("text"))
+    return view.page_pivot(cells, ["l_orderkey"], _LABELS)
 
 
 @query(f"""WITH {_ORDER_SQL}, k AS (SELECT l_orderkey, row - 1 AS col, CASE l_partkey % 4 WHEN 0 THEN 'Espèce' WHEN 1 THEN 'Sexe' WHEN 2 THEN 'Aile' ELSE 'Spalte ' || row::VARCHAR END AS base FROM c),
@@ -381,11 +387,12 @@ def catalog_semi(spark, sf_dir):
     return catalog.known(words, names).select("name", F.lit(True).alias("known"))
 
 
-@query("SELECT c_name AS name FROM (SELECT DISTINCT lower(n_name) AS c_name FROM nation WHERE n_nationkey % 2 = 0) WHERE c_name NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 3 = 0)")
+@query("SELECT DISTINCT name FROM (SELECT unnest(string_split(p_name, ' ')) AS name FROM part) WHERE name NOT IN (SELECT split_part(p_name, ' ', 2) FROM part)")
 def catalog_anti(spark, sf_dir):
-    nation = t(spark, sf_dir, "nation")
-    new = nation.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("name")).distinct()
-    return catalog.unknown(new, nation.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name")))
+    """The words of all part names against the catalogue of their second words, which is in capitals."""
+    part = t(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    return catalog.unknown(words, part.select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).distinct())
 
 
 @query("""WITH o(value, pos) AS (VALUES ('', -1), ('3-MEDIUM', 1), ('9-NONE', 2)), x AS (SELECT o_orderpriority AS value, min(o_orderkey) AS seen FROM orders WHERE o_orderpriority <> '' AND o_orderpriority NOT IN (SELECT value FROM o) GROUP BY 1),
@@ -396,14 +403,14 @@ def options_union(spark, sf_dir):
 
 _EDIT_SQL = """
 cells AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
-last AS (SELECT user_id, json_extract_string(props, '$.k')::INTEGER AS k, max_by(event_type, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+last AS (SELECT user_id, json_extract_string(props, '$.k')::INTEGER AS k, max_by(event_type, event_id) AS value FROM events GROUP BY 1, 2)
 """
 
 
 def _cells_and_edits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     ev = t(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
     cells = ev.select("user_id", "k").distinct().select("*", F.lit("view").alias("text"), F.lit(50).alias("score"), F.lit(False).alias("is_manual_edit"))
-    return cells, ev.where("event_id % 3 = 0").select("user_id", "k", F.concat(F.lit(" "), "event_type").alias("value"), F.col("event_id").alias("seq"))
+    return cells, ev.select("user_id", "k", F.concat(F.lit(" "), "event_type").alias("value"), F.col("event_id").alias("seq"))
 
 
 @query(f"WITH {_EDIT_SQL} SELECT c.user_id, c.k, coalesce(l.value, 'view') AS text, (CASE WHEN l.value <> 'view' THEN 100 ELSE 50 END)::INTEGER AS score, coalesce(l.value <> 'view', false) AS is_manual_edit FROM cells c LEFT JOIN last l USING (user_id, k)")
@@ -414,17 +421,13 @@ def edit_merge(spark, sf_dir):
 
 @query("SELECT user_id, json_extract_string(props, '$.k')::INTEGER AS k, max_by(event_type, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2")
 def stream_edits(spark, sf_dir):
-    """The latest edit of each cell through a file stream that ends when all input is read."""
+    """The latest edit of each cell: a file stream reduces each batch into a log in the shared folder, read when all input is in."""
     source = t(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     log = stream.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
-    name = f"edits_{abs(hash(sf_dir)) % 10**8}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-stream-")
-    from uuid import uuid4
-
-    run = latest_by_cell(log, ["user_id", "k"]).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{uuid4().hex}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    folder = shared_folder(spark, "edits")
+    merge_batches(log, ["user_id", "k"], f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return edits.latest(spark.read.parquet(f"{folder}/log").drop("batch"), ["user_id", "k"])
 
 
 @query("""WITH j AS (SELECT o_orderstatus AS role, o_orderpriority AS page, CASE WHEN o_orderkey % 7 = 0 THEN '"' ELSE o_orderpriority END AS truth, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 = 0 THEN '„' WHEN o_custkey % 4 = 0 THEN '' ELSE o_orderpriority END AS said FROM orders),
@@ -444,7 +447,8 @@ def unpivot_voices(spark, sf_dir):
     return evaluate.compare_voices(labelled, "truth", ["digit", "trocr"])
 
 
-@query("SELECT label::VARCHAR AS label, count(*) FILTER (vec_id % 3 <> 0) AS hits, count(*) AS total, floor(count(*) FILTER (vec_id % 3 <> 0)::DOUBLE / count(*) * 1000)::BIGINT AS permille FROM embeddings GROUP BY 1")
+@query("""WITH r AS (SELECT label::VARCHAR AS label, count(*) FILTER (vec_id % 3 <> 0) AS hits, count(*) AS total FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT label, hits, total, floor(hits * 1000::DOUBLE / total)::BIGINT AS permille FROM r UNION ALL SELECT NULL, sum(hits), sum(total), floor(avg(hits * 1000::DOUBLE / total))::BIGINT FROM r""")
 def class_rates(spark, sf_dir):
     return evaluate.class_rates(t(spark, sf_dir, "embeddings"), "label", F.col("vec_id") % 3 != 0)
 
@@ -465,9 +469,10 @@ def ink_gates(spark, sf_dir):
     return e.select("vec_id", dark.alias("dark"), images.pixel_gate(F.col("embedding"), -0.1, 0.2).alias("is_blank"))
 
 
-@query("SELECT vec_id, CASE WHEN list_max(embedding[1:3]) >= 0.05 THEN (['m', '', 'f'])[list_position(embedding[1:3], list_max(embedding[1:3]))] END AS label FROM embeddings")
+@query("SELECT vec_id, CASE WHEN list_max(embedding) >= 0.3 AND list_position(embedding, list_max(embedding)) <= 60 THEN 'c' || (list_position(embedding, list_max(embedding)) - 1)::VARCHAR END AS label FROM embeddings")
 def argmax_label(spark, sf_dir):
-    found = t(spark, sf_dir, "embeddings").select("vec_id", detections.argmax_label(F.slice("embedding", 1, 3), ["m", "", "f"], 0.05).alias("a"))
+    """All 64 components as outputs of a classifier with 60 labels; weak and unlabelled winners stay empty."""
+    found = t(spark, sf_dir, "embeddings").select("vec_id", detections.argmax_label(F.col("embedding"), [f"c{i}" for i in range(60)], 0.3).alias("a"))
     return found.select("vec_id", F.col("a.label").alias("label"))
 
 
@@ -478,7 +483,17 @@ def ctc_collapse(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(detections.ctc_collapse(steps, 0), lambda x: x.cast("string")), "").alias("text"))
 
 
-@query()
+_IOU_SQL = "(greatest(0.0::DOUBLE, least(s.x, b[1].x) + 20.0::DOUBLE - greatest(s.x, b[1].x)) * 30.0::DOUBLE)"
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_linenumber * 12.0::DOUBLE + l_suppkey % 7 AS x, l_discount * 8.0::DOUBLE + 0.2::DOUBLE AS conf, (l_quantity % 12)::INTEGER AS cls FROM lineitem),
+r AS (SELECT l_orderkey, coalesce(list({{'x': x, 'conf': conf, 'cls': cls}} ORDER BY conf DESC, x, cls) FILTER (conf >= 0.3::DOUBLE AND cls <= 9), []) AS boxes FROM l GROUP BY 1),
+k AS (SELECT l_orderkey, list_reduce(list_prepend(boxes[1:0], list_transform(boxes, lambda b: [b])), lambda held, b:
+  CASE WHEN len(list_filter(held, lambda s: {_IOU_SQL} / (1200.0::DOUBLE - {_IOU_SQL}) > 0.45::DOUBLE)) > 0 THEN held ELSE list_concat(held, b) END) AS kept FROM r)
+SELECT l_orderkey, array_to_string(list_transform(list_sort(list_transform(kept, lambda s: {{'x': s.x, 'nconf': -s.conf, 'cls': s.cls}})), lambda s: s.cls::VARCHAR), '') AS text,
+  round(CASE WHEN len(kept) = 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(kept, lambda s: s.conf)) / len(kept) END, 6) AS confidence FROM k
+""")
 def detections_compose(spark, sf_dir):
     """Boxes of an order's lines: x by line number, confidence by discount, class by quantity."""
     x = F.col("l_linenumber") * 12.0 + F.col("l_suppkey") % 7
@@ -488,7 +503,11 @@ def detections_compose(spark, sf_dir):
     return out.select("l_orderkey", F.col("d.text").alias("text"), F.round("d.confidence", 6).alias("confidence"))
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(url, '^([^\(?#]+)', 1) AS stem FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, url || ' ' AS stem FROM pages""")
 def header_page_parse(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", html_title(F.col("html")).alias("title"), F.regexp_extract("url", r"^([^\(?#]+)", 1).alias("stem"))
+    noted = F.concat("url", F.lit(" (page "), F.col("page_id").cast("string"), F.lit(")"))
+    return t(spark, sf_dir, "pages").select("page_id", html_title(F.col("html")).alias("title"), T.before_parenthesis(noted).alias("stem"))
+
+
+from . import stage_queries  # noqa: E402, F401 - registers its queries
 

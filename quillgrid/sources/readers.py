@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 ROLE_SCHEMA = (
     "role string, label string, keywords array<string>, width_share array<double>, models array<string>, value_range array<double>, digit_count array<int>, enabled boolean"
 )
@@ -37,11 +42,37 @@ def rasterise(files: DataFrame, render) -> DataFrame:
     return files.select("path", "is_pdf", "content").mapInArrow(run, "doc_id string, page int, content binary")
 
 
+#: The form that stands in where no schema file is usable (role, keywords, least and greatest share of the width).
+DEFAULT_FORM = [
+    ("batch", ["bague", "bague no", "numero", "nummer"], 0.04, 0.14),
+    ("species", ["espece", "espèce", "art"], 0.15, 0.38),
+    ("sexe", ["sexe", "d'sexe", "sex"], 0.03, 0.11),
+    ("age", ["age", "âge", "alter"], 0.05, 0.14),
+    ("jour_mois", ["jour mois", "jour", "mois"], 0.05, 0.15),
+    ("heure", ["heure"], 0.03, 0.11),
+    ("aile", ["aile", "alle", "aiie"], 0.04, 0.13),
+    ("poids", ["poids", "polds"], 0.03, 0.12),
+]
+
+
+def default_form(spark: SparkSession) -> DataFrame:
+    rows = [(i + 1, role, None, words, None, True, lo, hi, None, None, None, None) for i, (role, words, lo, hi) in enumerate(DEFAULT_FORM)]
+    return spark.createDataFrame(
+        rows,
+        "pos int, role string, label string, keywords array<string>, models array<string>, enabled boolean, width_lo double, width_hi double, "
+        "value_lo double, value_hi double, digits_lo int, digits_hi int",
+    )
+
+
 def form_schema(spark: SparkSession, *paths: str) -> DataFrame:
-    """Roles of the first path that exists and names columns: pos, role, label, keywords, widths, ranges."""
+    """Roles of the first path that can be read and names columns, else the built-in form: pos, role, label, keywords, widths, ranges.
+
+    A form has few roles, so the file is read when the schema is asked for; a missing or malformed one is passed over.
+    """
     for path in paths:
         try:
-            raw = spark.read.schema(f"columns array<struct<{', '.join(x.replace(' ', ':', 1) for x in ROLE_SCHEMA.split(', '))}>>").json(path, multiLine=True)
+            fields = ", ".join(x.replace(" ", ":", 1) for x in ROLE_SCHEMA.split(", "))
+            raw = spark.read.schema(f"columns array<struct<{fields}>>").json(path, multiLine=True)
             found = raw.select(F.posexplode("columns").alias("pos", "c")).select((F.col("pos") + 1).alias("pos"), "c.*")
             if not found.isEmpty():
                 pair = lambda c, i: F.get(c, F.lit(i))
@@ -49,10 +80,9 @@ def form_schema(spark: SparkSession, *paths: str) -> DataFrame:
                     "pos", "role", "label", "keywords", "models", F.coalesce("enabled", F.lit(True)).alias("enabled"),
                     *[pair(c, i).alias(f"{n}_{e}") for c, n in (("width_share", "width"), ("value_range", "value"), ("digit_count", "digits")) for i, e in enumerate(("lo", "hi"))],
                 )
-        except Exception as e:  # noqa: BLE001 - a missing or broken override falls back to the next file
-            if "PATH_NOT_FOUND" not in str(e) and "MALFORMED" not in str(e) and "No such" not in str(e):
-                raise
-    raise FileNotFoundError(f"no form schema among {paths}")
+        except PySparkException as e:
+            log.warning("form schema %s passed over: %s", path, e.getCondition())
+    return default_form(spark)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +116,13 @@ def image_folder(spark: SparkSession, path: str, train_share: int = 80) -> DataF
     return files.select("path", F.element_at(F.split("path", "/"), -2).alias("label"), split.alias("split"), "content")
 
 
+def listed_texts(spark: SparkSession, listing: str, folder: str) -> DataFrame:
+    """(path, text) of the label files that ``listing`` names, one a line, relative to ``folder``."""
+    wanted = spark.read.text(listing).select(F.regexp_replace(F.trim("value"), r"\.[^./]+$", ".txt").alias("name")).where("name <> ''")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.join(wanted.distinct(), F.element_at(F.split("path", "/"), -1) == F.element_at(F.split("name", "/"), -1), "left_semi")
+
+
 def alphabet(texts: DataFrame, column: str) -> DataFrame:
     """Distinct characters of white-space-normalised text, in order."""
     letters = texts.select(F.explode(F.split(F.regexp_replace(column, r"\s+", " "), "")).alias("symbol")).where("symbol <> ''")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -27,13 +27,17 @@ def report_lines(pages: DataFrame, labels: list[str]) -> DataFrame:
 
 def write_report(pages: DataFrame, labels: list[str], path: str) -> None:
     """One text file with CRLF line ends and a byte order mark; pages are sorted, not collected."""
-    first = F.row_number().over(Window.orderBy("page", "part", "row")) == 1
-    ordered = report_lines(pages, labels).withColumn("line", F.when(first, F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")))
+    least = pages.agg(F.min("page").alias("__first"))
+    first = (F.col("page") == F.col("__first")) & (F.col("part") == 0)
+    marked = report_lines(pages, labels).join(F.broadcast(least), F.lit(True), "left")
+    ordered = marked.withColumn("line", F.when(first, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
     ordered.coalesce(1).sortWithinPartitions("page", "part", "row").select("line").write.option("lineSep", "\r\n").text(path)
 
 
-def write_plain_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+def write_plain_csv(cells: DataFrame, value: str, path: str) -> None:
+    """The older report: page (from 1), row and one value column named ``value``, in order of page and row."""
+    rows = cells.select((F.col("page") + 1).alias("Seite"), F.col("row").alias("Zeile"), F.coalesce("text", F.lit("")).alias(value))
+    rows.repartitionByRange("Seite", "Zeile").sortWithinPartitions("Seite", "Zeile").write.option("header", True).option("emptyValue", "").csv(path)
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.edits import latest
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``.
+
+    Only on a single machine may that setting be absent; then a local folder is made.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def latest_by_cell(stream: DataFrame, key: list[str]) -> DataFrame:
     """Running state of an edit stream: the value with the greatest ``seq`` of each cell (update or complete mode)."""
     return stream.groupBy(*key).agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
