@@ -111,6 +111,22 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def binaries(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each piece of ``data``; ``ends`` has the places between them, from 0 to the end."""
+    if isinstance(data, np.ndarray):
+        data = np.ascontiguousarray(data)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB in one array")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def joined_bytes(values: pa.Array) -> np.ndarray:
+    """All bytes of a binary array without nulls, one after the other, without a copy."""
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(values) else np.zeros(0, np.uint8)
+
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def mix64(x: np.ndarray) -> np.ndarray:

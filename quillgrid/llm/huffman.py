@@ -28,6 +28,9 @@ MAGIC = b"QGH1"
 MAX_BITS = 20
 CHECKPOINT_TOKENS = 64
 BLOCK_TOKENS = 1 << 17
+#: Tokens of a part, and the most parts; beyond that many, parts grow.
+PART_TOKENS = 1 << 23
+MAX_PARTS = 4096
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -148,16 +151,24 @@ def read_block(block: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tuple
     return doc_ids, counts, unpack_bits(block[at : at + size], offsets, np.minimum(every, counts[owner] - inner * every), table)
 
 
+def read_ids(block: bytes, table: tuple[np.ndarray, np.ndarray, int], document: int, first: int, n: int) -> np.ndarray:
+    """``n`` ids of the block's ``document``-th document from its ``first``-th on; decoding begins at the checkpoint before it."""
+    documents, every, marks, size = np.frombuffer(block, dtype="<u4", count=4, offset=4).tolist()
+    counts = np.frombuffer(block, dtype="<u4", count=documents, offset=20 + 8 * documents).astype(np.int64)
+    before = int(((counts[:document] + every - 1) // every).sum())
+    skip, stop = first // every, -(-min(first + n, int(counts[document])) // every)
+    offsets = np.frombuffer(block, dtype="<u8", count=marks, offset=20 + 12 * documents)[before + skip : before + stop]
+    todo = np.minimum(every, counts[document] - np.arange(skip, stop) * every)
+    at = 20 + 12 * documents + 8 * marks
+    return unpack_bits(block[at : at + size], offsets, todo, table)[first - skip * every :][:n]
+
+
 def _ids_of_texts(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_ids, ids, counts in tokens.encoded(batch, path, end_id):
                 ends = np.concatenate([[0], np.cumsum(counts)]) * 4
-                data = ids.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(counts), pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), common.binaries(ids, ends)], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -165,11 +176,10 @@ def _ids_of_texts(path: str, end_id: int):
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for lo, hi in common.slices(batch.column(0), 32 << 20):
-            ids = np.frombuffer(b"".join(batch.column(0).slice(lo, hi - lo).to_pylist()), dtype="<u4")
-            more = np.bincount(ids, minlength=len(total))
-            more[: len(total)] += total
-            total = more
+        ids = common.joined_bytes(batch.column(0)).view("<u4")
+        more = np.bincount(ids, minlength=len(total))
+        more[: len(total)] += total
+        total = more
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -182,8 +192,7 @@ def _encode_docs(lengths: np.ndarray, bounds: np.ndarray):
             for lo, hi in common.slices(batch.column(2), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 counts = np.asarray(part.column(1), dtype=np.int64)
-                data = part.column(2).to_pylist()
-                ids = np.frombuffer(b"".join(data), dtype="<u4")
+                ids = common.joined_bytes(part.column(2)).view("<u4")
                 body, starts, inside = pack_bits(ids, counts, codes, lengths)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 place = np.arange(len(ids)) - np.repeat(first[:-1], counts)
@@ -197,8 +206,8 @@ def _encode_docs(lengths: np.ndarray, bounds: np.ndarray):
                         pa.array(np.searchsorted(bounds, sort_id, side="right").astype(np.int32)),
                         doc_ids,
                         pa.array(counts),
-                        pa.array([body[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()),
-                        pa.array([marks[a:b] for a, b in zip(mark_at[:-1], mark_at[1:], strict=True)], pa.binary()),
+                        common.binaries(body, starts),
+                        common.binaries(marks, mark_at),
                     ],
                     ["part", "doc_id", "n_tokens", "payload", "marks"],
                 )
@@ -257,12 +266,41 @@ def _decode(lengths: np.ndarray):
     return run
 
 
-def write_token_folder(docs: DataFrame, path: str | None = None, end_id: int = 1, docs_per_part: int = 8192) -> str:
+def _tokens_by_bin(cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            place = np.searchsorted(cuts, np.asarray(batch.column(0).fill_null(-(1 << 63)), dtype=np.int64), side="right")
+            np.add.at(total, place, np.asarray(batch.column(1), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["bin", "n"])
+
+    return run
+
+
+def part_bounds(ids: DataFrame, total: int, tokens_per_part: int) -> np.ndarray:
+    """First doc_id of each part but the first: parts of about ``tokens_per_part`` tokens, MAX_PARTS at most.
+
+    Quantiles of doc_id make four times as many bins as parts; neighbouring bins are joined by their tokens.
+    """
+    parts = min(MAX_PARTS, -(-total // tokens_per_part))
+    if parts < 2:
+        return np.zeros(0, dtype=np.int64)
+    bins = 4 * parts
+    quantiles = ids.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / bins for i in range(1, bins)], 0.5 / bins)
+    cuts = np.unique(np.asarray(quantiles, dtype=np.int64))
+    held = np.zeros(len(cuts) + 1, dtype=np.int64)
+    for r in ids.select("doc_id", "n_tokens").mapInArrow(_tokens_by_bin(cuts), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        held[r.bin] = r.n
+    part = np.cumsum(held)[:-1] * parts // max(1, total)
+    return cuts[np.append(part[:1] > 0, part[1:] > part[:-1])]
+
+
+def write_token_folder(docs: DataFrame, path: str | None = None, end_id: int = 1, tokens_per_part: int = PART_TOKENS) -> str:
     """Encode ``docs`` (doc_id, text) and write the blocks and the code; returns their folder.
 
-    Only the id counts (at most one row for each id of the vocabulary) and the range bounds of the
-    parts (one for ``docs_per_part`` documents) come to the driver. Null text is empty (its end id is
-    still written), null doc_id sorts first; rows with the same doc_id follow each other, the shorter first.
+    Only the id counts (at most one row for each id of the vocabulary) and the bounds of the parts
+    (MAX_PARTS at most) come to the driver. Null text is empty (its end id is still written), null doc_id
+    sorts first; rows with the same doc_id follow each other in one part, the shorter first.
     """
     path = path or tokens.tokenizer_path()
     spark = docs.sparkSession
@@ -272,9 +310,7 @@ def write_token_folder(docs: DataFrame, path: str | None = None, end_id: int = 1
     for r in found:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
-    n_parts = max(1, ids.count() // docs_per_part)
-    cuts = ids.select("doc_id").approxQuantile("doc_id", [i / n_parts for i in range(1, n_parts)], 0.2 / n_parts) if n_parts > 1 else []
-    bounds = np.unique(np.asarray(cuts, dtype=np.int64))
+    bounds = part_bounds(ids, int(counts.sum()), tokens_per_part)
     coded = ids.mapInArrow(_encode_docs(lengths, bounds), "part int, doc_id long, n_tokens long, payload binary, marks binary")
     parts = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "payload")
     folder = common.shared_dir(spark, "token-files")
@@ -294,9 +330,9 @@ def read_code(spark, folder: str) -> tuple[np.ndarray, int]:
     return lengths, next(r.id for r in rows if r.is_end)
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, docs_per_part: int = 8192) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 1, tokens_per_part: int = PART_TOKENS) -> tuple[DataFrame, np.ndarray]:
     """``write_token_folder``; returns the written blocks and the written code lengths."""
-    folder = write_token_folder(docs, path, end_id, docs_per_part)
+    folder = write_token_folder(docs, path, end_id, tokens_per_part)
     return docs.sparkSession.read.schema(_BLOCKS).parquet(f"{folder}/blocks"), read_code(docs.sparkSession, folder)[0]
 
 

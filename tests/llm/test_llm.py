@@ -38,16 +38,20 @@ def test_against_sql(spark, name):
     same(registry.queries()[name](spark, DATA), registry.oracle_sql()[name])
 
 
-def test_tokens_equal_the_library(odd):
+def test_tokens_equal_the_library(odd, monkeypatch):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.tokenizer_path())
     rng = random.Random(5)
     letters = list("ab Ée'st́Σσς12 \x1c\x85\n\tİñ한日😀") + ["<|endoftext|>", "'s"]
-    texts = [t for _, t, _ in odd] + ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(500)]
-    ids, counts = tokens.encode(texts, tokens.tokenizer_path(), 0)
+    letters += [*"ßÿ×÷ªµ\xa0\x00\x7f<|>RVLMD", "'re", "'LL", "don't", "''d", "'Ét", "'veé"]
+    texts = [t for _, t, _ in odd] + ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)]
     want = [plain.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
-    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    for segment, cache in ((1 << 21, 500_000), (40, 90)):
+        monkeypatch.setattr(tokens, "SEGMENT", segment)
+        monkeypatch.setattr(tokens, "CACHE_PARTS", cache)
+        ids, counts = tokens.encode(texts, tokens.tokenizer_path(), 0)
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
 def ids_of(odd, end):
@@ -81,18 +85,27 @@ def test_plan_is_near_the_bound(seed):
 
 
 def test_token_files(spark, odd):
-    blocks, lengths = huffman.write_token_files(common.documents(table(spark, odd)), docs_per_part=4)
+    odd = [*odd, (None, "no id", "a")]
+    blocks, lengths = huffman.write_token_files(common.documents(table(spark, odd)), tokens_per_part=100)
+    assert blocks.select("part").distinct().count() > 1
     got = huffman.read_token_files(blocks, lengths).orderBy("start").collect()
-    assert [r.doc_id for r in got] == sorted(d for d, _, _ in odd)
+    assert [r.doc_id for r in got] == [None, *sorted(d for d, _, _ in odd if d is not None)]
     assert sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens
-    want = sorted((d, len(i), zlib.crc32(i.tobytes())) for (d, _, _), i in zip(odd, ids_of(odd, 1), strict=True))
-    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    want = sorted((d or 0, len(i), zlib.crc32(i.tobytes())) for (d, _, _), i in zip(odd, ids_of(odd, 1), strict=True))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
+    decode = huffman.decoding_table(lengths)
+    whole = {d: i for (d, _, _), i in zip(odd, ids_of(odd, 1), strict=True)}
+    for block in blocks.collect():
+        for at, (doc_id, n) in enumerate(zip(*huffman.read_block(bytes(block.data), decode)[:2], strict=True)):
+            for first in {0, n // 2, n - 1}:
+                part = huffman.read_ids(bytes(block.data), decode, at, first, 70)
+                assert part.tolist() == whole[None if block.part == 0 and at == 0 and block.block == 0 else doc_id][first : first + 70].tolist()
     blocks, lengths = huffman.write_token_files(common.documents(table(spark, [])))
     assert huffman.read_token_files(blocks, lengths).count() == 0
 
 
 def test_token_files_read_from_their_folder(spark, odd):
-    folder = huffman.write_token_folder(common.documents(table(spark, odd)), end_id=3, docs_per_part=4)
+    folder = huffman.write_token_folder(common.documents(table(spark, odd)), end_id=3, tokens_per_part=500)
     got = huffman.read_token_folder(spark.newSession(), folder).collect()
     want = sorted((d, len(i), zlib.crc32(i.tobytes())) for (d, _, _), i in zip(odd, ids_of(odd, 3), strict=True))
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
