@@ -1,14 +1,22 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-A rule rejects a document whose rate is above a cutoff. Per stratum and rule, the labelled good
-documents are a holdout: going from the mildest cutoff to stricter ones, a cutoff is certified while
-the exact binomial test rejects "more than alpha / rules of the good documents are lost" at level
-delta / (strata * rules). Testing in a fixed order needs no correction within a rule; Bonferroni covers
-rules and strata. With probability 1 - delta no stratum loses more than alpha of its good documents.
+A rule rejects a document whose rate is above a cutoff. All steps (a rule with one of its cutoffs) of a
+stratum are put in one order, and each prefix of it is a configuration: reject what any of its steps hits.
+So configurations are nested, and what they are tested on is the loss of all rules together. The order
+comes from the documents that are not labelled good alone: steps that hit most labelled bad documents for
+each document hit come first, steps that hit none are left out. It is thus fixed before the holdout, the
+labelled good documents that the base rules keep, is looked at; prefixes are certified in order while the
+exact binomial test rejects "more than alpha of the good documents are lost" at level delta divided by the
+number of strata that could be certified at all (strata with fewer good documents than that, see
+``least_holdout``, get no share of delta). Testing nested prefixes in a fixed order needs no further
+correction. With probability 1 - delta, in no stratum do the certified rules lose more than alpha of the good
+documents that the base rules keep; what the base rules reject is outside that bound.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,37 +102,62 @@ def binomial_tail(n: Column, k: Column, p: Column) -> Column:
     return F.exp(log_top) * F.coalesce(summed["s"], F.lit(1.0))
 
 
-def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The strictest certified cutoff (null: none) of each rule, one row per stratum of ``good`` (features)."""
-    tests = [(rule, i, c) for rule, grid in RULES.items() for i, c in enumerate(grid)]
+def least_holdout(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good documents below which not even a configuration without any loss can be certified."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
+STEPS = [(rule, i, c) for rule, grid in RULES.items() for i, c in enumerate(grid)]
+
+
+def cutoffs(marked: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The strictest certified cutoff (null: none) of each rule, one row per stratum of ``marked`` (features, q: 1 good, 0 bad, null unknown).
+
+    The tables beyond ``marked`` have a row per stratum and step.
+    """
     value = rates()
-    lost = [F.count_if(value[rule] > c).alias(f"lost_{rule}_{i}") for rule, i, c in tests]
-    strata = good.groupBy("stratum").agg(F.count("*").alias("n"), *lost).withColumn("strata", F.count("*").over(Window.partitionBy()))
-    options = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"lost_{rule}_{i}").alias("lost")) for rule, i, c in tests]
-    long = strata.select("stratum", "n", "strata", F.explode(F.array(*options)).alias("o")).select("stratum", "n", "strata", "o.*")
-    p = F.lit(alpha / len(RULES))
-    safe = F.when(F.col("lost") <= F.col("n") * p, binomial_tail(F.col("n"), F.col("lost"), p) <= F.lit(delta / len(RULES)) / F.col("strata")).otherwise(False)
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = long.withColumn("safe", safe).withColumn("certified", F.min("safe").over(so_far))
-    return kept.groupBy("stratum").agg(*[F.min(F.when(F.col("certified") & (F.col("rule") == rule), F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES])
+    good = F.coalesce(F.col("q") == 1, F.lit(False))
+    hit = [value[rule] > c for rule, _, c in STEPS]
+    counts = marked.groupBy("stratum").agg(
+        F.count_if(good).alias("n"),
+        F.array(*[F.struct(F.lit(k).alias("step"), F.lit(c).alias("cutoff"), F.count_if(hit[k] & ~good).alias("hits"), F.count_if(hit[k] & F.coalesce(F.col("q") == 0, F.lit(False))).alias("bad")) for k, (_, _, c) in enumerate(STEPS)]).alias("steps"),
+    )
+    enough = counts.where(F.col("n") >= least_holdout(alpha, delta)).withColumn("strata", F.count("*").over(Window.partitionBy()))
+    best = Window.partitionBy("stratum").orderBy(F.desc(F.col("s.bad") / F.col("s.hits")), F.desc("s.bad"), "s.step")
+    each = enough.select("stratum", "n", "strata", F.explode("steps").alias("s")).where("s.bad > 0")
+    ranked = common.materialize(each.select("stratum", "n", "strata", F.col("s.step").alias("step"), F.col("s.cutoff").alias("cutoff"), F.row_number().over(best).alias("rank")), "step-order")
+    ranks = ranked.groupBy("stratum").agg(*[F.max(F.when(F.col("step") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(STEPS))])
+    none = len(STEPS) + 1
+    first = F.least(*[F.coalesce(F.when(hit[k], F.col(f"r{k}")), F.lit(none)) for k in range(len(STEPS))])
+    holdout = marked.where(good).alias("m").join(ranks.alias("r"), F.expr("m.stratum <=> r.stratum")).drop(F.col("r.stratum"))
+    losses = holdout.groupBy("stratum", first.alias("rank")).agg(F.count("*").alias("lost"))
+    so_far = Window.partitionBy("stratum").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = ranked.alias("o").join(losses.alias("l"), F.expr("o.stratum <=> l.stratum and o.rank = l.rank"), "left").select("o.*", F.coalesce("lost", F.lit(0)).alias("lost"))
+    tested = met.withColumn("lost", F.sum("lost").over(so_far))
+    p = F.lit(alpha)
+    safe = F.when(F.col("lost") <= F.col("n") * p, binomial_tail(F.col("n"), F.col("lost"), p) <= F.lit(delta) / F.col("strata")).otherwise(False)
+    kept = tested.withColumn("safe", safe).withColumn("certified", F.min("safe").over(so_far))
+    own = lambda rule: F.col("step").isin([k for k, s in enumerate(STEPS) if s[0] == rule])
+    return kept.groupBy("stratum").agg(*[F.min(F.when(F.col("certified") & own(rule), F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts and verdict of each of ``docs`` (doc_id, text, stratum) given ``labels`` (doc_id, quality).
 
-    A document counts as good if all its labels say 1. Null strata form a stratum. Where too few good
-    documents are labelled, no cutoff is certified and the rule rejects nothing.
+    A document counts as good if all its labels say 1, as bad if one says 0. Null strata form a stratum.
+    Where fewer than ``least_holdout`` good documents are labelled, nothing is certified and only the base
+    rules reject; so it is without labelled bad documents. Rows of equal doc_id share their labels.
     """
-    counted = common.materialize(features(docs), "features")
-    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q is not null")
-    good = good.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1")
-    known = lambda df: df.withColumn("__stratum", F.coalesce("stratum", F.lit(""))).withColumn("__none", F.col("stratum").isNull()).drop("stratum")
-    limits = known(common.materialize(cutoffs(counted.join(good, "doc_id", "left_semi"), alpha, delta), "cutoffs", "snappy"))
     base_failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    counted = common.materialize(features(docs).withColumn("base_failed", base_failed), "features")
+    known_label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).where("doc_id is not null and q is not null")
+    marked = counted.where("not base_failed").join(known_label.groupBy("doc_id").agg(F.min("q").alias("q")), "doc_id", "left")
+    known = lambda df: df.withColumn("__stratum", F.coalesce("stratum", F.lit(""))).withColumn("__none", F.col("stratum").isNull()).drop("stratum")
+    limits = known(common.materialize(cutoffs(marked, alpha, delta), "cutoffs", "snappy"))
     rejected = F.lit(False)
     for rule, rate in rates().items():
         rejected = rejected | F.coalesce(rate > F.col(f"max_{rule}"), F.lit(False))
-    judged = known(counted).join(limits, ["__stratum", "__none"], "left").withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    judged = known(counted).join(limits, ["__stratum", "__none"], "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -143,10 +176,10 @@ def _op4_sql() -> str:
         "capital_rate": "n_capitals::DOUBLE / greatest(word_chars, 1)::DOUBLE",
         "word_length": "word_chars::DOUBLE / greatest(n_words, 1)::DOUBLE",
     }
-    tests = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, grid in RULES.items() for i, c in enumerate(grid))
+    tests = ", ".join(f"({k}, '{rule}', {c}::DOUBLE)" for k, (rule, _, c) in enumerate(STEPS))
     pick = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {sql}" for rule, sql in value.items()) + " END"
-    p = ALPHA / len(RULES)
     rejects = " OR ".join(f"coalesce({sql} > (SELECT min(cutoff) FROM certified c WHERE c.stratum IS NOT DISTINCT FROM f.stratum AND rule = '{rule}'), false)" for rule, sql in value.items())
+    failed = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
     return rf"""
 WITH w AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -162,28 +195,37 @@ WITH w AS MATERIALIZED (
   SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM win WHERE n > 1) GROUP BY r
 ), f AS MATERIALIZED (
-  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT r, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)
-), good AS MATERIALIZED (
-  SELECT * FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
-), counted AS MATERIALIZED (
-  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({pick} > cutoff) AS lost
-  FROM good, (VALUES {tests}) t(rule, step, cutoff) GROUP BY ALL
+), marked AS MATERIALIZED (
+  SELECT f.*, q FROM f LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT {failed}
+), holdout AS MATERIALIZED (
+  SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM marked WHERE q = 1 GROUP BY stratum HAVING count(*) >= {least_holdout()}
+), hits AS MATERIALIZED (
+  SELECT stratum, step, rule, cutoff, count(*) FILTER (q IS DISTINCT FROM 1) AS hits, count(*) FILTER (q = 0) AS bad
+  FROM marked, (VALUES {tests}) t(step, rule, cutoff) WHERE {pick} > cutoff GROUP BY ALL
+), ordered AS MATERIALIZED (
+  SELECT h.*, n, strata, row_number() OVER (PARTITION BY h.stratum ORDER BY bad::DOUBLE / hits DESC, bad DESC, step) AS rank
+  FROM hits h JOIN holdout o ON h.stratum IS NOT DISTINCT FROM o.stratum WHERE bad > 0
+), first AS MATERIALIZED (
+  SELECT stratum, rank, count(*) AS lost FROM (
+    SELECT m.r, m.stratum, min(rank) AS rank FROM marked m JOIN ordered o ON m.stratum IS NOT DISTINCT FROM o.stratum AND {pick} > cutoff WHERE q = 1 GROUP BY m.r, m.stratum) GROUP BY ALL
 ), tested AS MATERIALIZED (
-  SELECT *, lost <= n * {p!r}::DOUBLE AND coalesce((
-    SELECT sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) + i * ln({p!r}::DOUBLE) + (n - i) * ln(1 - {p!r}::DOUBLE)))
-    FROM range(0, lost + 1) s(i)), 0) <= {DELTA / len(RULES)!r}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM good)) AS safe
-  FROM counted
+  SELECT o.*, sum(coalesce(lost, 0)) OVER (PARTITION BY o.stratum ORDER BY o.rank)::BIGINT AS lost
+  FROM ordered o LEFT JOIN first l ON o.stratum IS NOT DISTINCT FROM l.stratum AND o.rank = l.rank
+), safe AS MATERIALIZED (
+  SELECT *, lost <= n * {ALPHA!r}::DOUBLE AND coalesce((
+    SELECT sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) + i * ln({ALPHA!r}::DOUBLE) + (n - i) * ln(1 - {ALPHA!r}::DOUBLE)))
+    FROM range(0, lost + 1) s(i)), 0) <= {DELTA!r}::DOUBLE / strata AS safe
+  FROM tested
 ), certified AS MATERIALIZED (
-  SELECT stratum, rule, cutoff FROM (SELECT *, bool_and(safe) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM tested) WHERE ok
+  SELECT stratum, rule, cutoff FROM (SELECT *, bool_and(safe) OVER (PARTITION BY stratum ORDER BY rank) AS ok FROM safe) WHERE ok
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({rejects}) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT ({rejects}) AS kept
 FROM f
 """
 

@@ -230,16 +230,48 @@ def test_binomial_bound(spark):
 def test_quality(spark, odd):
     good = " ".join(f"word{i}" for i in range(60))
     bad = " ".join(f"w{i}###" for i in range(60))
-    rows = [(100 + i, good, "a") for i in range(3000)] + [(5000, bad, "a"), (5001, "a b c " * 30, "a"), *odd]
+    rows = [(100 + i, good, "a") for i in range(200)] + [(5000, bad, "a"), (5001, "a b c " * 30, "a"), (5002, bad, "a"), *odd]
     docs = table(spark, rows).withColumn("stratum", F.lit(None).cast("string")).select("doc_id", "text", "stratum")
-    labels = spark.createDataFrame([(100 + i, 1) for i in range(3000)] + [(5000, 0), (None, 1), (100, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(100 + i, 1) for i in range(200)] + [(5000, 0), (None, 1), (100, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
-    assert got[100].kept and not got[5000].kept and not got[5000].base_failed
+    assert got[100].kept and not got[5000].kept and not got[5000].base_failed and not got[5002].kept
     assert got[5001].base_failed and got[5001].n_repeat_words == 90 and not got[1].kept and got[3].n_words == 2
     none = quality.judge(docs, labels.where("false"))
     assert none.where("doc_id = 5000 and kept").count() == 1 and quality.judge(docs.where("false"), labels).count() == 0
 
 
+def test_quality_at_the_bound(spark):
+    """Strata just inside and just outside of what exact binomial sums allow."""
+    from math import comb
+
+    tail = lambda n, k: sum(comb(n, i) * quality.ALPHA**i * (1 - quality.ALPHA) ** (n - i) for i in range(k + 1))
+    least = quality.least_holdout()
+    assert tail(least, 0) <= quality.DELTA < tail(least - 1, 0)
+    clean, noisy = " ".join(f"word{i}" for i in range(30)), " ".join(f"w{i}#" for i in range(30))
+    #: stratum: good documents, how many of them the only useful step would lose
+    plan = {"none": (least - 1, 0), "one": (300, 1), "all": (400, 1), "tight": (400, 2), "big": (900, 8), "over": (900, 9)}
+    able = [s for s, (n, _) in plan.items() if n >= least]
+    rows, labels = [], []
+    for s, (n, lost) in plan.items():
+        for i in range(n):
+            labels.append((len(rows), 1))
+            rows.append((len(rows), noisy if i < lost else clean, s))
+        labels += [(len(rows), 0), (len(rows) + 1, 0)]
+        rows += [(len(rows), noisy, s), (len(rows) + 1, "a b", s)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stratum string")
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    said = {r.stratum: r.rejects for r in got.join(docs, "doc_id").where("not base_failed").groupBy("stratum").agg(F.bool_or(~F.col("kept")).alias("rejects")).collect()}
+    assert said == {s: s in able and tail(n, lost) <= quality.DELTA / len(able) for s, (n, lost) in plan.items()}
+    assert set(said.values()) == {True, False}
+
+
+def test_quality_verdicts_are_the_methods(spark):
+    """On the table that the SQL is compared on, some documents that pass the base rules are rejected."""
+    got = registry.queries()["op4_quality_rules"](spark, "/root/testdata/sf0.01")
+    assert got.where("not base_failed and not kept").count() > 0
+    same(got, registry.oracle_sql()["op4_quality_rules"], "/root/testdata/sf0.01")
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = registry.queries()["op7_language_id"](spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
