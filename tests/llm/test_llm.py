@@ -283,6 +283,45 @@ def test_language(spark, odd):
     assert langid.with_language(strange, langid.train(langid.labelled(strange.where("false")))).where("lang_pred <> 'und'").count() == 0
 
 
+def explicit_ridge(texts, langs, asked, per_lang):
+    """The kernel, landmark by landmark, and the ridge regression on Nystrom features, in double precision."""
+
+    def grams(text):
+        code = [0 if b < 128 and not chr(b).isalpha() else b | 32 if b < 128 else b for b in text.encode()]
+        return {tuple(code[i : i + n]) for n in (1, 2, 3) for i in range(len(code) - n + 1)}
+
+    sets, known = [grams(t) for t in texts], sorted(set(langs))
+    kernel = lambda a, b: len(a & b) / max(len(a) * len(b), 1) ** 0.5
+    marks = [i for i in range(len(texts)) if langs[:i].count(langs[i]) < per_lang]
+    across = lambda some: np.array([[kernel(s, sets[m]) for m in marks] for s in some])
+    values, vectors = np.linalg.eigh(across([sets[m] for m in marks]))
+    good = values > 1e-6 * values.max()
+    lift = lambda some: across(some) @ vectors[:, good] / np.sqrt(values[good])
+    x, y = lift(sets), np.array([[float(a == k) for k in known] for a in langs])
+    share = np.array([1 / langs.count(a) for a in langs])[:, None]
+    left = x.T @ (share * x)
+    return lift([grams(t) for t in asked]) @ np.linalg.solve(left + langid.RIDGE * np.trace(left) / len(left) * np.eye(len(left)), x.T @ (share * y))
+
+
+def test_language_scores_equal_the_kernels(spark):
+    docs = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect() if r.text and r.lang and any(c.isalpha() for c in r.text) and len(r.text) < 3000][:60]
+    texts, langs = [r.text for r in docs], [r.lang for r in docs]
+    model = langid.fit(texts, langs, landmarks_per_lang=6)
+    asked = [*texts[:10], "Ωδε και το", "x", "été à l'œuvre", "1 2 3 zz"]
+    got = model.scores(pa.array(asked, pa.string()), model.table())
+    assert np.allclose(got, explicit_ridge(texts, langs, asked, 6), atol=2e-4)
+
+
+def test_strange_languages_go_and_short_texts_stay(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(-1, "Ωδε και το φως του ηλιου λαμπει " * 5, None), (-2, "漢字仮名交じり文です。" * 9, None), (-3, "12 !!", "en")], "doc_id long, text string, lang string")
+    kept = langid.keep_recognised(docs.union(strange))
+    assert kept.where("doc_id < 0").count() == 0
+    assert kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    one = docs.where("lang = 'en'")
+    assert langid.keep_recognised(one).count() == one.where(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_warc(spark):
     same_body = "é" * 600
     rows = [(1, "http://www.b.org/x", same_body), (2, "http://a.b.org/", same_body), (5, "http://a.b.org/", same_body), (3, None, None), (4, "http://c\r\nd", "WARC/1.1\r\n\r\nshort"), (None, "u", "z"), (6, "http://[bad", "z")]
