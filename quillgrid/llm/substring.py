@@ -1,20 +1,25 @@
-"""Repeated passages by locally consistent parsing (restricted recompression).
-
-Each text is parsed in rounds: neighbouring symbols (a, b) merge when the round's coin puts a on the
-left and b on the right side; a merged pair is named by its parts. Coins and names are functions of
-content alone, so they are global without an exchange, and equal passages get equal symbols inside.
-Only symbols of at most the round's limit of words merge (``ROUNDS``), so no symbol passes four words.
-Long runs of one word never merge; their interior borders all carry the name of the run.
-
-A border between symbols that survives depends on five words to each side at most, and of any four
-neighbouring borders one survives. Hence each window of 13 words has a surviving border whose ten words
-around it lie within the window. Those ten words name the border; windows repeat only where all their
-borders' names do. One Spark round finds the names that occur in several documents, a second one finds,
-for the windows under such names, the smallest document with the same 13 words.
-
-Documents travel in blocks of a few megabytes. Blocks send sorted, delta-coded fingerprints to hashed
-ranges and get back one bit for each, so a passage that is in a third of all documents costs each
-block one entry, and no range collects documents.
+"""Repeated passages by recompression.
+
+Each text is parsed in rounds. A round names maximal runs of one symbol (by symbol and length) and then pairs
+of neighbours (a, b), where the round's coin puts a on the left and b on the right side. Names and coins are
+functions of content alone, so equal passages get equal symbols inside. Spark rounds make the names global:
+
+1. The first rounds (``ROUNDS``) merge symbols of at most the round's limit of words, so that none passes
+   four words and of any four neighbouring borders one survives. A surviving border depends on five words to
+   each side at most and is named by those ten, so each window of 13 words has a named border inside (long
+   runs of one word keep all borders). An exchange finds the names that occur in several documents.
+2. Between borders that nobody shares, runs and pairs are named on without a limit (``HIGH_ROUNDS``). Symbols
+   of 13 words and more go through a second exchange, which tells each occurrence whether a smaller document
+   has the same symbol: that reveals a long repeat whole, by a few symbols, and verifies it by a hash that
+   is independent of the names. All windows inside such a symbol are settled.
+3. Windows under shared names that no settled symbol covers (at the ends of repeats, and in the smallest
+   document that has a symbol) go through a third exchange by a fingerprint of their 13 words, independent of
+   the names, too. The smallest document with a window is never settled by a symbol, so none is missed.
+
+Documents travel in blocks of a few megabytes. Blocks send sorted, delta-coded names to hashed ranges and get
+back one bit for each, so a passage that is in a third of all documents costs each block one entry, and
+no range collects documents. Beyond ``FAN`` ranges names go in two steps: groups of blocks are merged for
+each coarse range first, so that rows stay large and a name in every block counts once for its group.
 """
 
 from __future__ import annotations
@@ -36,32 +41,85 @@ WINDOW = 13
 REACH = 5
 #: The most words of a symbol that may merge, by round.
 ROUNDS = (1, 2, 1, 2)
+#: Rounds of runs and pairs without a limit of words.
+HIGH_ROUNDS = 20
 BLOCK_BYTES = 2 << 20
 BYTES_PER_RANGE = 32 << 20
+#: Ranges that blocks send to directly, and blocks that are merged for each of them where there are more.
+FAN = 1024
+GROUP_BLOCKS = 4096
 
 
-def borders(code: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Which words begin a symbol after all rounds; ``row`` numbers the documents."""
-    start, name, size = np.arange(len(code)), code, np.ones(len(code), dtype=np.int8)
-    with np.errstate(over="ignore"):
-        for i, limit in enumerate(ROUNDS):
-            if len(start) < 2:
-                break
-            coin = (common.mix64(name + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
-            may = size <= limit
-            here = row[start]
-            join = np.append((~coin & may)[:-1] & (coin & may)[1:] & (here[:-1] == here[1:]), False)
-            keep = np.append(True, ~join[:-1])
-            name = np.where(join, common.mix64(name * np.uint64(0xC2B2AE3D27D4EB4F) + np.roll(name, -1) + np.uint64(i + 1)), name)[keep]
-            size = np.where(join, size + np.roll(size, -1), size)[keep]
-            start = start[keep]
-    out = np.zeros(len(code), dtype=bool)
-    out[start] = True
-    return out
+_PAIR, _RUN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
+
+
+def _coin(name: np.ndarray, i: int) -> np.ndarray:
+    return (common.mix64(name + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
+
+
+def _paired(join: np.ndarray, keep: np.ndarray, name: np.ndarray, i: int) -> np.ndarray:
+    return np.where(join, common.mix64(name * _PAIR + np.roll(name, -1) + np.uint64(i + 1)), name)[keep]
+
+
+class Symbols:
+    """Neighbouring symbols of a block: first word, words, name, and a second name with independent hashes."""
+
+    def __init__(self, code: np.ndarray, check: np.ndarray, group: np.ndarray) -> None:
+        self.start, self.size, self.name, self.check, self.group = np.arange(len(code)), np.ones(len(code), dtype=np.int64), code, check, group
+
+    def only(self, keep: np.ndarray) -> None:
+        self.start, self.size, self.name, self.check, self.group = (x[keep] for x in (self.start, self.size, self.name, self.check, self.group))
+
+    def runs(self) -> None:
+        """Each maximal run of one symbol becomes a symbol."""
+        same = (self.name[1:] == self.name[:-1]) & (self.check[1:] == self.check[:-1]) & (self.group[1:] == self.group[:-1])
+        if not same.any():
+            return
+        head = np.append(True, ~same)
+        first = np.flatnonzero(head)
+        times = np.diff(np.append(first, len(head))).astype(np.uint64)
+        size = np.add.reduceat(self.size, first)
+        self.only(head)
+        with np.errstate(over="ignore"):
+            self.name, self.check = (np.where(times > 1, common.mix64(x * _RUN + times), x) for x in (self.name, self.check))
+        self.size = size
+
+    def pairs(self, i: int, limit: int | None = None) -> bool:
+        """Neighbours that the coin of round ``i`` puts on the left and right side become a symbol."""
+        if len(self.start) < 2:
+            return False
+        coin = _coin(self.name, i)
+        join = ~coin[:-1] & coin[1:] & (self.group[:-1] == self.group[1:])
+        if limit is not None:
+            may = self.size <= limit
+            join &= may[:-1] & may[1:]
+        if not join.any():
+            return False
+        join, keep = np.append(join, False), np.append(True, ~join)
+        with np.errstate(over="ignore"):
+            name, check = _paired(join, keep, self.name, i), _paired(join, keep, self.check, i)
+        size = np.where(join, self.size + np.roll(self.size, -1), self.size)[keep]
+        self.only(keep)
+        self.name, self.check, self.size = name, check, size
+        return True
+
+
+class Content:
+    """Occurrences by content: distinct codes in order, the least doc_id of each, and which code each occurrence has."""
+
+    def __init__(self, code: np.ndarray, doc_id: np.ndarray) -> None:
+        self.doc_id = doc_id
+        self.codes, self.at = np.unique(code, return_inverse=True)
+        self.least = np.full(len(self.codes), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.at, doc_id)
+
+    def earlier(self, answers: list[dict] | None, ranges: int) -> np.ndarray:
+        """Which occurrences have the same content in a smaller document, here or, by the ``answers``, anywhere."""
+        return _bits_of(answers, self.codes, ranges)[self.at] | (self.doc_id > self.least[self.at])
 
 
 class Parsed:
-    """A block's words, the named borders, and the windows."""
+    """A block's words, its symbols and named borders, and the windows."""
 
     def __init__(self, block: bytes) -> None:
         common.enter("words")
@@ -77,7 +135,12 @@ class Parsed:
         begin = np.repeat(self.first[:-1], n_words)
         place = np.arange(len(self.code))
         usable = self.valid[self.row] if len(self.row) else np.zeros(0, dtype=bool)
-        self.border = np.flatnonzero(borders(self.code, self.row) & (place - REACH >= begin) & (place + REACH <= stop) & usable)
+        self.symbols = Symbols(self.code, self.check, self.row)
+        for i, limit in enumerate(ROUNDS):
+            self.symbols.pairs(i, limit)
+        border = np.zeros(len(self.code), dtype=bool)
+        border[self.symbols.start] = True
+        self.border = np.flatnonzero(border & (place - REACH >= begin) & (place + REACH <= stop) & usable)
         self.window = np.flatnonzero((place + WINDOW <= stop) & usable)
         self.name = common.chain(self.code, 2 * REACH)[self.border - REACH] if len(self.border) else np.zeros(0, np.uint64)
 
@@ -89,26 +152,56 @@ class Parsed:
         several = np.minimum.reduceat(self.doc_id[row], head) < np.maximum.reduceat(self.doc_id[row], head) if len(head) else np.zeros(0, bool)
         return name[head], several
 
-    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows under shared names only: their places and, per distinct content in order, fingerprint and least doc_id; and content by place."""
-        names, _ = self.names()
-        alone = np.zeros(len(self.code) + 1, dtype=np.int32)
-        if len(names):
-            alone[self.border + 1] = ~shared[np.searchsorted(names, self.name)]
-        so_far = np.cumsum(alone)
+    def alone(self, shared: np.ndarray) -> np.ndarray:
+        """Which words a border without a shared name stands before; ``shared``: by distinct name."""
+        out = np.zeros(len(self.code) + 1, dtype=bool)
+        if len(self.border):
+            out[self.border] = ~shared[np.searchsorted(self.names()[0], self.name)]
+        return out
+
+    def long_symbols(self, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, Content]:
+        """Symbols of 13 words and more between borders that nobody shares: first word, words, content."""
+        some = self.symbols
+        if len(some.start):
+            usable = self.valid[self.row[some.start]]
+            some.group = np.cumsum(alone[some.start] | np.append(True, some.group[1:] != some.group[:-1]))
+            some.only(usable & (np.bincount(some.group, some.size)[some.group] >= WINDOW))
+        starts, sizes, checks = [some.start[:0]], [some.size[:0]], [some.check[:0]]
+        words = np.zeros(len(self.code), dtype=np.int64)
+        for i in range(HIGH_ROUNDS):
+            if not len(some.start):
+                break
+            words[some.start] = some.size
+            some.runs()
+            some.pairs(len(ROUNDS) + i)
+            new = (some.size >= WINDOW) & (words[some.start] != some.size)
+            starts.append(some.start[new])
+            sizes.append(some.size[new])
+            checks.append(some.check[new])
+        start, size, check = (np.concatenate(x) for x in (starts, sizes, checks))
+        return start, size, Content(check, self.doc_id[self.row[start]] if len(start) else np.zeros(0, np.int64))
+
+    def windows(self, alone: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, Content]:
+        """Windows under shared names that are not inside settled words: their places and content.
+
+        ``settled``: for each word, how many words from it on belong to one settled symbol.
+        """
+        so_far = np.cumsum(np.append(False, alone))
         p = self.window
-        p = p[so_far[p + WINDOW - REACH + 1] == so_far[p + REACH]]
-        code = common.chain(self.check, WINDOW)[p] if len(p) else np.zeros(0, np.uint64)
-        found, at = np.unique(code, return_inverse=True)
-        least = np.full(len(found), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, self.doc_id[self.row[p]])
-        return p, found, least, at
-
-    def covered(self, p: np.ndarray) -> np.ndarray:
-        """Words that the windows at ``p`` cover."""
-        edge = np.zeros(len(self.code) + WINDOW + 1, dtype=np.int32)
-        edge[p] += 1
-        edge[p + WINDOW] -= 1
+        p = p[(so_far[p + WINDOW - REACH + 1] == so_far[p + REACH]) & (settled[p] < WINDOW)]
+        return p, Content(common.chain(self.check, WINDOW)[p] if len(p) else np.zeros(0, np.uint64), self.doc_id[self.row[p]] if len(p) else np.zeros(0, np.int64))
+
+    def settled(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each word the most words from it on that one of the symbols covers."""
+        reach = np.zeros(len(self.code) + 1, dtype=np.int64)
+        np.maximum.at(reach, start, start + size)
+        return np.maximum(np.maximum.accumulate(reach)[:-1] - np.arange(len(self.code)), 0)
+
+    def covered(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Words that the passages cover."""
+        edge = np.zeros(len(self.code) + 1, dtype=np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + size, -1)
         return np.cumsum(edge)[: len(self.code)] > 0
 
     def kept(self, gone: np.ndarray) -> Iterator[bytes]:
@@ -183,73 +276,128 @@ def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _send_names(ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names, several = Parsed(data.as_buffer()).names()
-                cut = _bounds(names, ranges)
-                yield _batch(
-                    [[r for r, _, _ in cut], [block] * len(cut), [_squeeze(names[a:b]) for _, a, b in cut], [np.packbits(several[a:b]).tobytes() for _, a, b in cut]],
-                    [pa.int32(), pa.int64(), pa.binary(), pa.binary()],
-                    ["range", "block", "codes", "extra"],
-                )
+def _rows(codes: np.ndarray, extra: np.ndarray, block: int, ranges: int) -> pa.RecordBatch:
+    """A row for each range that ``codes`` (sorted) fall into; ``extra`` is a flag or a number for each code."""
+    cut = _bounds(codes, ranges)
+    pack = (lambda x: np.packbits(x).tobytes()) if extra.dtype == bool else _squeeze
+    return _batch(
+        [[r for r, _, _ in cut], [block] * len(cut), [_squeeze(codes[a:b]) for _, a, b in cut], [pack(extra[a:b]) for _, a, b in cut]],
+        [pa.int32(), pa.int64(), pa.binary(), pa.binary()],
+        ["range", "block", "codes", "extra"],
+    )
+
+
+class Entries:
+    """The rows of one range: all codes with their extras, sorted, and where each content begins."""
+
+    def __init__(self, table: pa.Table, flags: bool) -> None:
+        self.table = table
+        self.each = [_unsqueeze(d, np.uint64) for d in table.column("codes").to_pylist()]
+        unpack = (lambda x, n: np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool)) if flags else (lambda x, _: _unsqueeze(x, np.int64))
+        extra = np.concatenate([unpack(x, len(e)) for x, e in zip(table.column("extra").to_pylist(), self.each, strict=True)])
+        codes = np.concatenate(self.each)
+        self.order = np.argsort(codes, kind="stable")
+        codes = codes[self.order]
+        self.own, self.flags = extra[self.order], flags
+        self.head = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        self.codes, self.times = codes[self.head], np.diff(np.append(self.head, len(codes)))
+
+    def merged(self) -> np.ndarray:
+        """Per content: whether several documents have it, or the least document."""
+        if self.flags:
+            return np.maximum.reduceat(self.own, self.head) | (self.times > 1)
+        return np.minimum.reduceat(self.own, self.head)
+
+    def answer(self, above: np.ndarray | None = None) -> pa.Table:
+        """One bit for each entry, back to its block: shared, or in a smaller document; ``above``: what is known of the content beyond these rows."""
+        by_code = self.merged()
+        if self.flags:
+            told = np.repeat(by_code if above is None else by_code | above, self.times)
+        else:
+            told = np.repeat(by_code, self.times) < self.own
+            if above is not None:
+                told |= np.repeat(above, self.times)
+        bits = np.empty(len(self.order), dtype=bool)
+        bits[self.order] = told
+        ends = np.cumsum([len(e) for e in self.each])
+        packed = [np.packbits(bits[b - len(e) : b]).tobytes() for e, b in zip(self.each, ends.tolist(), strict=True)]
+        return pa.Table.from_arrays([self.table.column("block"), self.table.column("range"), pa.array(packed, pa.binary())], ["block", "range", "bits"])
 
-    return run
 
+def _bits_of(answers: list[dict] | None, codes: np.ndarray, ranges: int) -> np.ndarray:
+    got = {a["range"]: a["bits"] for a in answers or ()}
+    out = np.zeros(len(codes), dtype=bool)
+    for r, a, b in _bounds(codes, ranges):
+        out[a:b] = np.unpackbits(np.frombuffer(got[r], np.uint8))[: b - a].astype(bool)
+    return out
 
-def _gather(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's fingerprints; all of them sorted, their rank order, and where each content begins."""
-    each = [_unsqueeze(d, np.uint64) for d in table.column("codes").to_pylist()]
-    codes = np.concatenate(each)
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    return each, codes, order, np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
 
+def _answers(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias(name))
 
-def _answer(table: pa.Table, each: list[np.ndarray], order: np.ndarray, head: np.ndarray, by_code: np.ndarray | None, by_entry: np.ndarray | None) -> pa.Table:
-    """One bit for each entry, back to its block."""
-    bits = np.empty(len(order), dtype=bool)
-    bits[order] = np.repeat(by_code, np.diff(np.append(head, len(order)))) if by_code is not None else by_entry
-    ends = np.cumsum([len(e) for e in each])
-    packed = [np.packbits(bits[b - len(e) : b]).tobytes() for e, b in zip(each, ends.tolist(), strict=True)]
-    return pa.Table.from_arrays([table.column("block"), table.column("range"), pa.array(packed, pa.binary())], ["block", "range", "bits"])
 
+def exchange(sent: DataFrame, name: str, flags: bool, ranges: int, blocks: int) -> DataFrame:
+    """(block, ``name``): the answers to what the blocks ``sent`` (_SENT) to the ``coarse(ranges)`` ranges."""
+    answer = lambda table: Entries(table, flags).answer()
+    if ranges <= FAN:
+        return common.materialize(_answers(sent.groupBy("range").applyInArrow(answer, _BACK), name), name)
+    groups = -(-blocks // GROUP_BLOCKS)
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+    sent = common.materialize(sent.withColumn("group", group), f"{name}-sent")
 
-def _shared_names(table: pa.Table) -> pa.Table:
-    each, codes, order, head = _gather(table)
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(e)].astype(bool) for x, e in zip(table.column("extra").to_pylist(), each, strict=True)])[order]
-    shared = (np.diff(np.append(head, len(codes))) > 1) | np.maximum.reduceat(several, head)
-    return _answer(table, each, order, head, shared, None)
+    def combine(table: pa.Table) -> pa.Table:
+        entries = Entries(table, flags)
+        me = table.column("range")[0].as_py() * groups + table.column("group")[0].as_py()
+        return pa.Table.from_batches([_rows(entries.codes, entries.merged(), me, ranges)])
 
+    def reply(table: pa.Table, answers: pa.Table) -> pa.Table:
+        entries = Entries(table, flags)
+        told = [x for row in answers.column("answers").to_pylist() for x in row]
+        return entries.answer(_bits_of(told, entries.codes, ranges))
 
-def _earlier_windows(table: pa.Table) -> pa.Table:
-    each, codes, order, head = _gather(table)
-    own = np.concatenate([_unsqueeze(x, np.int64) for x in table.column("extra").to_pylist()])[order]
-    least = np.repeat(np.minimum.reduceat(own, head), np.diff(np.append(head, len(codes))))
-    return _answer(table, each, order, head, None, least < own)
+    combined = sent.groupBy("range", "group").applyInArrow(combine, _SENT)
+    told = _answers(combined.groupBy("range").applyInArrow(answer, _BACK), "answers")
+    told = told.select(F.floor(F.col("block") / groups).cast("int").alias("range"), (F.col("block") % groups).cast("int").alias("group"), "answers")
+    back = sent.groupBy("range", "group").cogroup(told.groupBy("range", "group")).applyInArrow(reply, _BACK)
+    return common.materialize(_answers(back, name), name)
 
 
-def _bits_of(answers: list[dict] | None, codes: np.ndarray, ranges: int) -> np.ndarray:
-    got = {a["range"]: a["bits"] for a in answers or ()}
-    out = np.zeros(len(codes), dtype=bool)
-    for r, a, b in _bounds(codes, ranges):
-        out[a:b] = np.unpackbits(np.frombuffer(got[r], np.uint8))[: b - a].astype(bool)
-    return out
+def coarse(ranges: int) -> int:
+    """The ranges that blocks send to."""
+    return min(ranges, FAN)
+
+
+class Block:
+    """What a block knows after the exchanges so far; ``answers``: names, symbols, windows."""
 
+    def __init__(self, data, answers: list, ranges: int) -> None:
+        self.parsed = parsed = Parsed(data.as_buffer())
+        self.codes, self.several = parsed.names()
+        if answers:
+            alone = parsed.alone(_bits_of(answers[0], self.codes, ranges))
+            self.start, self.size, self.symbols = parsed.long_symbols(alone)
+        if len(answers) > 1:
+            early = self.symbols.earlier(answers[1], ranges)
+            self.start, self.size = self.start[early], self.size[early]
+            self.place, self.windows = parsed.windows(alone, parsed.settled(self.start, self.size))
+
+    def gone(self, answers: list[dict] | None, ranges: int) -> np.ndarray:
+        early = self.place[self.windows.earlier(answers, ranges)]
+        return self.parsed.covered(np.concatenate([early, self.start]), np.concatenate([np.full(len(early), WINDOW), self.size]))
+
+
+def _send(ranges: int):
+    """What the next exchange needs of each block (block, data, answers so far)."""
 
-def _send_windows(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                parsed = Parsed(data.as_buffer())
-                _, codes, least, _ = parsed.windows(_bits_of(answers.as_py(), parsed.names()[0], ranges))
-                cut = _bounds(codes, ranges)
-                yield _batch(
-                    [[r for r, _, _ in cut], [block] * len(cut), [_squeeze(codes[a:b]) for _, a, b in cut], [_squeeze(least[a:b]) for _, a, b in cut]],
-                    [pa.int32(), pa.int64(), pa.binary(), pa.binary()],
-                    ["range", "block", "codes", "extra"],
-                )
+            for block, data, *answers in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                known = Block(data, [a.as_py() for a in answers], ranges)
+                if not answers:
+                    yield _rows(known.codes, known.several, block, ranges)
+                else:
+                    content = known.symbols if len(answers) == 1 else known.windows
+                    yield _rows(content.codes, content.least, block, ranges)
 
     return run
 
@@ -259,11 +407,10 @@ def _finish(ranges: int, names: list[str] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, shared, earlier in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                parsed = Parsed(data.as_buffer())
-                p, codes, least, at = parsed.windows(_bits_of(shared.as_py(), parsed.names()[0], ranges))
-                before = _bits_of(earlier.as_py(), codes, ranges)
-                gone = parsed.covered(p[before[at] | (parsed.doc_id[parsed.row[p]] > least[at])])
+            for data, *answers in zip(*batch.columns, strict=True):
+                told = [a.as_py() for a in answers]
+                known = Block(data, told[:2], ranges)
+                parsed, gone = known.parsed, known.gone(told[2], ranges)
                 n_words = np.diff(parsed.first)
                 n_removed = np.diff(np.append(0, np.cumsum(gone))[parsed.first])
                 if names is None:
@@ -279,20 +426,19 @@ def _finish(ranges: int, names: list[str] | None):
     return run
 
 
+EXCHANGES = ("names", "symbols", "windows")
+
+
 def _run(rows: DataFrame, block_bytes: int, bytes_per_range: int) -> tuple[DataFrame, int]:
+    """(data, names, symbols, windows): the blocks with the answers of all exchanges; and the number of coarse ranges."""
     blocks = common.materialize(rows.mapInArrow(_write_blocks(block_bytes), "block long, data binary"), "blocks", "none")
-    size = blocks.select(F.sum(F.octet_length("data"))).first()[0] or 0
-    ranges = max(1, 2 * size // bytes_per_range)
-
-    def exchange(sent: DataFrame, answer, name: str) -> DataFrame:
-        back = sent.groupBy("range").applyInArrow(answer, _BACK)
-        return back.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias(name))
-
-    shared = common.materialize(exchange(blocks.mapInArrow(_send_names(ranges), _SENT), _shared_names, "shared"), "shared-names")
-    with_names = blocks.join(shared, "block", "left")
-    sent = with_names.select("block", "data", "shared").mapInArrow(_send_windows(ranges), _SENT)
-    earlier = common.materialize(exchange(sent, _earlier_windows, "earlier"), "earlier-windows")
-    return with_names.join(earlier, "block", "left").select("data", "shared", "earlier"), ranges
+    size, n = blocks.select(F.sum(F.octet_length("data")), F.count("*")).first()
+    ranges = max(1, 2 * (size or 0) // bytes_per_range)
+    known = blocks
+    for name in EXCHANGES:
+        told = exchange(known.mapInArrow(_send(coarse(ranges)), _SENT), name, name == "names", ranges, n)
+        known = known.join(told, "block", "left")
+    return known.drop("block"), coarse(ranges)
 
 
 def removed_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bytes_per_range: int = BYTES_PER_RANGE) -> DataFrame:

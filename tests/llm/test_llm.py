@@ -124,17 +124,44 @@ def test_codes(n):
         assert huffman.huffman_cost(counts) <= int((counts * lengths.astype(np.int64)).sum()) <= 1.01 * huffman.huffman_cost(counts)
 
 
-@pytest.mark.parametrize("letters", [1, 2, 3, 8, 40])
-def test_substrings(spark, letters):
+@pytest.mark.parametrize(("letters", "fan"), [(1, 1024), (2, 1024), (3, 2), (8, 1024), (40, 1024), (40, 2)])
+def test_substrings(spark, monkeypatch, letters, fan):
+    """Short alphabets, so that runs and chance repeats abound; with and without merged groups of blocks."""
+    monkeypatch.setattr(substring, "FAN", fan)
+    monkeypatch.setattr(substring, "GROUP_BLOCKS", 4)
     rng = random.Random(letters)
     some = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN"[:letters]
     text = lambda sizes: " ".join(rng.choice(some) for _ in range(rng.choice(sizes)))
-    pool = [text([13, 14, 20]) for _ in range(5)]
+    pool = [text([13, 14, 20, 300]) for _ in range(5)]
     rows = [(i, text([0, 5, 13, 14, 40, 200]) + (" " + rng.choice(pool) + "\n" + rng.choice(["x", "y z", "é"]) if rng.random() < 0.5 else "")) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, substring.removed_words(df, block_bytes=1500, bytes_per_range=2000).collect())) == brute.removed(rows)
 
 
+def parsed_of(rows):
+    sink = pa.BufferOutputStream()
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return substring.Parsed(sink.getvalue())
+
+
+def test_long_repeats_have_the_same_symbols_inside():
+    """A passage of 500 words between different words: few symbols, the same in both places, cover nearly all of it."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(60)}" for _ in range(400)) + " run" * 100
+    rows = [(i, " ".join([*(f"a{i}{k}" for k in range(30 + 7 * i)), passage, *(f"z{i}{k}" for k in range(40))])) for i in range(2)]
+    parsed = parsed_of(rows)
+    start, size, content = parsed.long_symbols(np.zeros(len(parsed.code) + 1, dtype=bool))
+    both = np.flatnonzero(np.bincount(content.at) > 1)
+    there = np.isin(content.at, both)
+    assert parsed.covered(start[there], size[there]).sum() >= 2 * 460
+    words = [x for _, t in rows for x in t.split()]
+    for k in both:
+        assert len({tuple(words[start[i] : start[i] + size[i]]) for i in np.flatnonzero(content.at == k)}) == 1
+    assert size[there].max() >= 100
+
+
 def test_substrings_odd(spark, odd):
     got = sorted(map(tuple, substring.removed_words(common.documents(table(spark, odd))).collect()))
     assert got == brute.removed([(i, t) for i, t, _ in odd])
