@@ -4,15 +4,21 @@ Each distinct shingle set has ``COORDINATES`` minwise tokens. In each of ``TREES
 node picks coordinates, and a document goes to the child named by its token there: two sets of
 similarity s share such a child with probability s. Small nodes are compared exhaustively, crowded ones
 branch again (``BRANCHES`` coordinates), and what is still crowded after ``LEVELS`` is compared in pairs
-of blocks, so no pair is dropped. Each pair of similarity 0.8 meets with probability above
-1 - 0.2 ** TREES at the first level.
+of blocks, so no pair is dropped. A pair of similarity s meets in a tree with probability s at the first
+level and s (1 - (1 - s) ** BRANCHES) ** l after l crowded ones; at 0.8 all trees miss it with probability
+2.6e-6, or 5.5e-5 if all its nodes are crowded on all levels.
 
 Only documents of different components need comparing. So a first pass links each document to its node's
 smallest document where their sketches agree, confirms those links on the full sets, and joins them to
 components; nodes that lie within one component then drop out. This is what keeps a group of thousands of
 copies linear. A node's possible links come back as stars, whose components meet once more with their
-texts. Sketches (four bits a coordinate) only choose which pairs are confirmed; a confirmed link compares
-the full sets of 64-bit shingle fingerprints.
+texts. Sketches (four bits a coordinate) only choose which pairs are confirmed: they rule out a pair of
+similarity 0.8 with probability below 1e-8 (``SLACK``). A confirmed link compares the full sets by shingle
+fingerprints that are independent of those that sketches, trees and candidates come from.
+
+Texts travel where they are compared only: once for each pair of the first pass and once for each ``PARTNERS``
+pairs for its hub; in the second pass to those nodes where a sketch allows a link. Nodes with texts are
+bounded by bytes (``NODE_BYTES``), beside single longer texts.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,8 +41,11 @@ SMALL = 512
 MANY = 2048
 BRANCHES = 2
 LEVELS = 4
-#: How far a sketch's estimate may lie under the threshold: over four standard deviations at 0.8.
-SLACK = 0.16
+#: How far a sketch's estimate may lie under the threshold. At 0.8, 52 of 128 coordinates may differ, where 24 do on average.
+SLACK = 0.234
+#: Texts that meet a hub in one place, and bytes of text of a chunk of a node.
+PARTNERS = 256
+NODE_BYTES = 16 << 20
 ROWS_PER_TASK = 60_000
 
 _rng = np.random.default_rng(20_240_607)
@@ -44,17 +54,26 @@ _ADDENDS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uin
 _FIRST = _rng.permutation(COORDINATES)[:TREES]
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Each row's distinct word shingles as sorted fingerprints; fewer words than ``width`` are one shingle."""
-    _, _, first, code = common.words_of(raw, offsets, lower=True)
-    wide = common.chain(code, width)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= width:
-            yield np.unique(wide[a : b - width + 1])
-        elif b > a:
-            yield common.chain(code[a:b], b - a)[:1] ^ np.uint64(b - a)
-        else:
-            yield np.zeros(0, dtype=np.uint64)
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int, seeds: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each seed, each row's distinct word shingles as sorted fingerprints; fewer words than ``width`` are one shingle."""
+    _, _, first, *codes = common.words_of(raw, offsets, lower=True, seeds=seeds)
+    rows = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    out = []
+    for code in codes:
+        wide = common.chain(code, width)
+        whole = lambda a, b, code=code: common.chain(code[a:b], b - a)[:1] ^ np.uint64(b - a)
+        out.append([np.unique(wide[a : b - width + 1]) if b - a >= width else whole(a, b) if b > a else np.zeros(0, dtype=np.uint64) for a, b in rows])
+    return out
+
+
+def checked_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sets that links are confirmed on."""
+    return shingle_sets(*common.buffer_of(texts), width, (1,))[0]
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,7 +113,8 @@ def _describe(width: int):
         common.enter("words")
         for batch in batches:
             for lo, hi in common.slices(batch.column(1), 1 << 20):
-                sets = list(shingles(*common.buffer_of(batch.column(1).slice(lo, hi - lo)), width))
+                texts = batch.column(1).slice(lo, hi - lo)
+                sets, others = shingle_sets(*common.buffer_of(texts), width, (0, 1))
                 filled = [i for i, s in enumerate(sets) if len(s)]
                 tokens = minwise([sets[i] for i in filled]) if filled else np.zeros((0, COORDINATES), np.uint32)
                 sketch: list[bytes | None] = [None] * len(sets)
@@ -102,10 +122,10 @@ def _describe(width: int):
                 with np.errstate(over="ignore"):
                     for i, row in zip(filled, tokens, strict=True):
                         sketch[i] = row.astype("<u4").tobytes()
-                        s = sets[i]
-                        key[i] = np.asarray([common.mix64(s).sum(), common.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], dtype="<u8").tobytes()
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "tokens"])
+                        key[i] = np.asarray([common.mix64(sets[i]).sum(), common.mix64(others[i]).sum()], dtype="<u8").tobytes()
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                columns = [batch.column(0).slice(lo, hi - lo), sizes, pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pc.binary_length(texts).cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "tokens", "bytes"])
 
     return run
 
@@ -156,11 +176,11 @@ def _branch(level: int):
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, rid, label, n, tokens) with the sketch in place of the tokens."""
+    """Rows (cluster, rid, label, n, bytes, tokens) with the sketch in place of the tokens."""
     for batch in batches:
         if batch.num_rows:
             sketch = [r.tobytes() for r in nibbles(_rows(batch, "tokens", "<u4", COORDINATES))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "rid", "label", "n")), pa.array(sketch, pa.binary())], ["cluster", "rid", "label", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "rid", "label", "n", "bytes")), pa.array(sketch, pa.binary())], ["cluster", "rid", "label", "n", "bytes", "sketch"])
 
 
 def _near(threshold: float):
@@ -192,43 +212,66 @@ def _reach(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least = new
 
 
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of whole nodes; rows arrive sorted by node."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = np.asarray(batch.column("node"), dtype=np.int64)
+        cut = int(np.searchsorted(node, node[-1]))
+        if held and held[0].column("node")[0].as_py() != node[-1]:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _candidates(batch: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of one node and different labels whose sizes and sketches allow a link."""
+    node, label, n = (np.asarray(batch.column(c), dtype=np.int64) for c in ("node", "label", "n"))
+    sketch = _rows(batch, "sketch", "<u8", 8)
+    here, found = np.arange(len(node)), [(np.zeros(0, np.int64),) * 2]
+    for gap in range(1, len(node)):
+        here = here[here + gap < len(node)]
+        here = here[node[here] == node[here + gap]]
+        if not len(here):
+            break
+        there = here + gap
+        fit = (label[here] != label[there]) & (np.minimum(n[here], n[there]) >= threshold * np.maximum(n[here], n[there]) - 1e-9)
+        i, j = here[fit], there[fit]
+        close = estimate(sketch[i], sketch[j]) >= threshold - SLACK
+        found.append((i[close], j[close]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _exhaust(threshold: float):
     """Rows sorted by node: all pairs of a node in different components are tried on their sketches.
 
     Returns, for each set of rows that possible links connect, a star (a, b) instead of all its pairs.
     """
 
-    def stars(node: np.ndarray, label: np.ndarray, n: np.ndarray, rid: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        here, found = np.arange(len(node)), []
-        for gap in range(1, len(node)):
-            here = here[here + gap < len(node)]
-            here = here[node[here] == node[here + gap]]
-            if not len(here):
-                break
-            there = here + gap
-            fit = (label[here] != label[there]) & (np.minimum(n[here], n[there]) >= threshold * np.maximum(n[here], n[there]) - 1e-9)
-            i, j = here[fit], there[fit]
-            close = estimate(sketch[i], sketch[j]) >= threshold - SLACK
-            found.append((i[close], j[close]))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            least = _reach(len(node), i, j)
-            moved = np.flatnonzero(least != np.arange(len(node)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_node(batches):
+            i, j = _candidates(batch, threshold)
+            least = _reach(batch.num_rows, i, j)
+            moved = np.flatnonzero(least != np.arange(len(least)))
             if len(moved):
+                rid = np.asarray(batch.column("rid"), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[least[moved]]), pa.array(rid[moved])], ["a", "b"])
 
+    return run
+
+
+def _active(threshold: float):
+    """Rows sorted by node: those that a sketch allows a link within the node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.asarray(batch.column(c), dtype=np.int64) for c in ("node", "label", "n", "rid")] + [_rows(batch, "sketch", "<u8", 8)]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            yield from stars(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield from stars(*held)
+        for batch in _by_node(batches):
+            yield batch.take(pa.array(np.unique(np.concatenate(_candidates(batch, threshold)))))
 
     return run
 
@@ -238,12 +281,13 @@ def _settle(percent: int, width: int):
 
     Within a node, a pair that earlier links already connect is not needed.
     """
-    threshold = percent / 100
 
-    def node_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        label = np.asarray([r[1] for r in rows])
-        n = np.asarray([r[2] for r in rows])
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u8").reshape(-1, 8)
+    def links_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        label, rid = (np.asarray(batch.column(c), dtype=np.int64) for c in ("label", "rid"))
+        i, j = _candidates(batch, percent / 100)
+        order = np.lexsort((j, i))
+        i, j = i[order].tolist(), j[order].tolist()
+        last = {x: k for k, pair in enumerate(zip(i, j, strict=True)) for x in pair}
         sets: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
@@ -252,56 +296,42 @@ def _settle(percent: int, width: int):
                 root[x] = x = root.get(root[x], root[x])
             return x
 
-        def shingled(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = next(shingles(*common.buffer_of(pa.array([rows[i][5]], pa.string())), width))
-            return sets[i]
-
-        for i in range(len(rows) - 1):
-            rest = np.arange(i + 1, len(rows))
-            rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i]) - 1e-9)]
-            rest = rest[estimate(sketch[rest], sketch[i]) >= threshold - SLACK]
-            for j in rest.tolist():
-                a, b = find(int(label[i])), find(int(label[j]))
-                if a == b:
-                    continue
-                x, y = shingled(i), shingled(j)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    root[max(a, b)] = min(a, b)
-                    yield rows[i][3], rows[j][3]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        def of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = checked_sets(batch.column("text").slice(x, 1), width)[0]
+            return sets[x]
 
-        def close() -> pa.RecordBatch:
-            links = list(node_links(held))
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+        for k, (x, y) in enumerate(zip(i, j, strict=True)):
+            a, b = find(int(label[x])), find(int(label[y]))
+            if a != b and similar(of(x), of(y), percent):
+                root[max(a, b)] = min(a, b)
+                yield int(rid[x]), int(rid[y])
+            for done in (x, y):
+                if last[done] == k:
+                    sets.pop(done, None)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield close()
-                    held = []
-                held.append(row)
-        if held:
-            yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("words")
+        for batch in _by_node(batches):
+            found = list(links_of(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def meetings(rows: DataFrame, group: str, small: int) -> DataFrame:
-    """``rows`` (group, rid, label, ...) dealt to nodes of bounded size in which all pairs of different labels meet.
+def meetings(rows: DataFrame, group: str, weight: Column) -> DataFrame:
+    """``rows`` (group, rid, label, ...) dealt to nodes in which all pairs of different labels meet.
 
-    Groups of at most ``small`` rows are one node. In larger ones, the rows of the most common label need
-    not meet each other: their chunks meet the chunks of the others, which also meet among themselves.
-    Groups of one label are left out.
+    ``weight`` is a row's share of a chunk. Groups of at most one chunk are one node. In larger ones, the rows
+    of the heaviest label need not meet each other: their chunks meet the chunks of the others, which also
+    meet among themselves. Groups of one label are left out.
     """
-    counts = rows.groupBy(group, "label").agg(F.count("*").alias("k"))
+    counts = rows.groupBy(group, "label").agg(F.sum(weight).alias("k"))
     stats = counts.groupBy(group).agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    stats = stats.select(group, "size", F.col("top.label").alias("major"), F.ceil(F.col("top.k") / small).cast("int").alias("chunks"), F.ceil((F.col("size") - F.col("top.k")) / small).cast("int").alias("others"))
+    chunks = lambda w: F.greatest(F.lit(1), F.ceil(w)).cast("int")
+    stats = stats.select(group, "size", F.col("top.label").alias("major"), chunks(F.col("top.k")).alias("chunks"), chunks(F.col("size") - F.col("top.k")).alias("others"))
     met = rows.join(stats, group)
-    whole = F.col("size") <= small
+    whole = F.col("size") <= 1
     major = F.col("label") == F.col("major")
     mine = F.pmod(F.xxhash64("rid", F.lit("deal")), F.when(major, F.col("chunks")).otherwise(F.col("others"))).cast("int")
     with_major = lambda c, o: F.xxhash64(F.col(group), F.lit("major"), c, o)
@@ -320,36 +350,40 @@ def meetings(rows: DataFrame, group: str, small: int) -> DataFrame:
 
 
 def _confirm(percent: int, width: int):
-    """Rows (a, b, text_a, text_b): the pairs whose full sets reach the threshold."""
+    """Rows (a, chunk, is_partner, b, text) in order: a hub's text (b is a), then those of its partners; pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("words")
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for lo, hi in common.slices(batch.column(2), 16 << 20):
+            for lo, hi in common.slices(batch.column(4), 4 << 20):
                 part = batch.slice(lo, hi - lo)
-                ends = []
-                for text in (part.column(2), part.column(3)):
-                    coded = text.dictionary_encode()
-                    sets = list(shingles(*common.buffer_of(coded.dictionary), width))
-                    ends.append([sets[i] for i in coded.indices.to_pylist()])
-                keep = []
-                for x, y in zip(*ends, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                chosen = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(chosen), part.column(1).filter(chosen)], ["a", "b"])
+                a, b = [], []
+                for x, is_partner, y, s in zip(*(part.column(i).to_pylist() for i in (0, 2, 3)), checked_sets(part.column(4), width), strict=True):
+                    if not is_partner:
+                        hub, own = x, s
+                    elif x == hub and similar(own, s, percent):
+                        a.append(x)
+                        b.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links among candidate ``pairs`` (a, b), compared on the full sets of the texts of ``docs``."""
+    """Links among candidate ``pairs`` (a, b), compared on the full sets of the texts of ``docs``.
+
+    A hub a meets its partners b in chunks of about PARTNERS, each of which has the hub's text once.
+    """
     wanted = common.materialize(pairs.where("a < b").distinct(), "pairs")
-    texts = docs.where("doc_id is not null and text is not null")
-    ends = wanted.select(F.col("a").alias("doc_id")).union(wanted.select("b")).distinct()
-    texts = texts.join(ends, "doc_id", "left_semi")
-    first = wanted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long").distinct(), "links")
+    chunks = wanted.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks"))
+    dealt = common.materialize(wanted.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")), "dealt-pairs")
+    hubs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(False).alias("is_partner"), F.col("a").alias("doc_id"))
+    ends = hubs.union(dealt.select("a", "chunk", F.lit(True), "b"))
+    texts = docs.where("doc_id is not null and text is not null").join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = ends.join(texts, "doc_id").select("a", "chunk", "is_partner", "doc_id", "text")
+    sorted_ = met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "is_partner")
+    return common.materialize(sorted_.mapInArrow(_confirm(percent, width), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -389,8 +423,8 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     threshold = percent / 100
-    described = common.materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key binary, tokens binary"), "sets")
-    grouped = described.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    described = common.materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key binary, tokens binary, bytes long"), "sets")
+    grouped = described.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.max("bytes").alias("bytes"))
     reps = common.materialize(grouped, "representatives")
     parts = max(spark.sparkContext.defaultParallelism, TREES * reps.count() // ROWS_PER_TASK)
 
@@ -403,7 +437,7 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     labels = components(links)
 
     # Second pass: nodes with several components, down to exhaustive comparison.
-    marked = common.materialize(reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), "n", "tokens"), "labelled")
+    marked = common.materialize(reps.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), "n", "tokens", "bytes"), "labelled")
     nodes = marked.mapInArrow(_plant(TREES), _NODE)
     found = None
     for level in range(LEVELS):
@@ -411,7 +445,7 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
         last = level == LEVELS - 1
         tops = nodes.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.max("k").alias("k"))
         crowded = common.materialize(tops.where((F.col("size") - F.col("k") > MANY) & F.lit(not last)).select("node"), "crowded")
-        few = meetings(nodes.join(crowded, "node", "left_anti").select("node", "label", "n", "rid", "sketch").withColumnRenamed("node", "group"), "group", SMALL)
+        few = meetings(nodes.join(crowded, "node", "left_anti").select("node", "label", "n", "rid", "sketch").withColumnRenamed("node", "group"), "group", F.lit(1 / SMALL))
         stars_ = few.select("node", "label", "n", "rid", "sketch").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_exhaust(threshold), "a long, b long")
         found = stars_ if found is None else found.union(stars_)
         if last or crowded.isEmpty():
@@ -421,9 +455,13 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     # What possible links connect meets once more, now with its texts.
     clusters = components(found)
     members = clusters.select(F.col("id").alias("rid"), F.col("label").alias("cluster")).union(clusters.select("label", "label").distinct())
-    described_members = members.join(marked, "rid").mapInArrow(_sketched, "cluster long, rid long, label long, n long, sketch binary")
+    described_members = members.join(marked, "rid").mapInArrow(_sketched, "cluster long, rid long, label long, n long, bytes long, sketch binary")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("rid"), "text")
-    dealt = meetings(described_members, "cluster", SMALL).join(texts, "rid").select("node", "label", "n", "rid", "sketch", "text")
+    load = F.greatest(F.lit(1 / SMALL), F.col("bytes") / NODE_BYTES)
+    columns = ["node", "label", "n", "rid", "sketch"]
+    met = meetings(described_members, "cluster", load).select(*columns).repartition(parts, "node").sortWithinPartitions("node")
+    wanted = common.materialize(met.mapInArrow(_active(threshold), "node long, label long, n long, rid long, sketch binary"), "text-nodes")
+    dealt = wanted.join(texts, "rid").select(*columns, "text")
     settled = dealt.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_settle(percent, width), "a long, b long")
     more = common.materialize(settled.distinct(), "links")
     final = components(links.union(more)).withColumnRenamed("id", "rid")
