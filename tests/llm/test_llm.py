@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import random
 import sys
 import zlib
@@ -349,15 +351,35 @@ def test_strange_languages_go_and_short_texts_stay(spark):
     assert langid.keep_recognised(one).count() == one.where(F.col("text").rlike(r"\p{L}")).count()
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_warc(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(warc, "CHUNK_ROWS", 2)
+        monkeypatch.setattr(warc, "FAN_IN", 2)
+    rng = random.Random(1)
     same_body = "é" * 600
-    rows = [(1, "http://www.b.org/x", same_body), (2, "http://a.b.org/", same_body), (5, "http://a.b.org/", same_body), (3, None, None), (4, "http://c\r\nd", "WARC/1.1\r\n\r\nshort"), (None, "u", "z"), (6, "http://[bad", "z")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("date", F.timestamp_seconds(F.lit(1_600_000_000)))
-    index = warc.read_index(spark, warc.write_archives(pages, 500), 2).collect()
-    keys = [(r.url_key, r.date, len(r.record_id), r.record_id) for r in index]
-    assert keys == sorted(keys) and len(index) == len(rows)
-    by = {r.record_id: (r.record_type, r.payload_bytes, r.refers_to) for r in index}
-    assert by["<urn:page:5>"] == ("response", 1200, None) and by["<urn:page:1>"] == ("revisit", 1200, "<urn:page:5>") and by["<urn:page:3>"][1] == 0
+    rows = [(1, "http://www.b.org/x", same_body), (2, "http://a.b.org/", same_body), (5, "http://a.b.org/", same_body), (3, None, None), (4, "http://c\r\nd", "WARC/1.1\r\n\r\nshort"), (None, "u", "z"), (6, "http://[bad", "z"), (-9, "http://a.b.org/", "\0\r\n\r\n")]
+    rows += [(100 + i, rng.choice(["http://hot.org/", f"http://h{i % 7}.org/{i % 3}"]), "x" * rng.randrange(300)) for i in range(120)]
+    pages = spark.createDataFrame([(*r, "clash", 7, "c") for r in rows], "page_id long, url string, html string, body string, first int, same string").withColumn("date", F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod("page_id", F.lit(17))))
+    folder = warc.write_archives(pages, 1500)
+    index = warc.read_index(spark, folder, 7 if small else 50_000).orderBy("place").collect()
+    keys = [(r.url_key, r.date or "", len(r.record_id), r.record_id) for r in index]
+    assert keys == sorted(keys) and [r.place for r in index] == list(range(1, len(rows) + 1)) and len({r.archive for r in index}) > 5
+    ids = spark.createDataFrame([(r.record_id, r.refers_to) for r in index], "a string, b string").select(warc.page_of(F.col("a")), warc.page_of(F.col("b"))).collect()
+    by = {i: (r.record_type, r.payload_bytes, j) for (i, j), r in zip(ids, index, strict=True)}
+    assert set(by) == {r[0] for r in rows} and len({r.record_id for r in index}) == len(rows)
+    assert by[5] == ("response", 1200, None) and by[1] == ("revisit", 1200, 5) and by[3][1] == 0 and by[None] == ("response", 1, None) and by[-9][1] == 5
+    for r in index[::10]:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            fields, block, size = warc.read_record(f.read(), r.offset)
+        assert fields["WARC-Record-ID"] == r.record_id and size > 20 and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        assert r.record_type == "revisit" and payload == b"" or hashlib.sha1(payload).hexdigest() == r.digest
+    with open(index[0].archive.removeprefix("file:"), "rb") as f:
+        data = f.read()
+    assert warc.read_record(data)[0]["WARC-Type"] == "warcinfo" and gzip.decompress(data).count(b"WARC-Record-ID") == sum(r.archive == index[0].archive for r in index) + 1
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse_archive(data[:-30]))
     assert warc.read_index(spark, warc.write_archives(pages.where("false"))).count() == 0
 
 
@@ -365,8 +387,8 @@ def test_warc_without_date(spark):
     rows = [(1, "http://a.org/", "x", 1_600_000_000), (2, "http://a.org/", "y", None), (3, "http://b.org/", "é" * 600, None), (4, "http://b.org/", "é" * 600, 1_600_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long").withColumn("date", F.timestamp_seconds("at"))
     assert warc.records(pages).where("value is null").count() == 0
-    index = warc.read_index(spark, warc.write_archives(pages)).collect()
-    assert [(r.record_id, r.date is None) for r in index] == [("<urn:page:2>", True), ("<urn:page:1>", False), ("<urn:page:3>", True), ("<urn:page:4>", False)]
+    index = warc.read_index(spark, warc.write_archives(pages)).withColumn("page_id", warc.page_of(F.col("record_id"))).orderBy("place").collect()
+    assert [(r.page_id, r.date is None) for r in index] == [(2, True), (1, False), (3, True), (4, False)]
     assert [r.record_type for r in index] == ["response", "response", "revisit", "response"]
 
 
