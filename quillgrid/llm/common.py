@@ -54,10 +54,12 @@ def enter(kind: str) -> None:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a local folder is made.
+    Only on a single machine may that setting be absent (tests); then a local folder is made.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback_dirs:
             _fallback_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillgrid-")

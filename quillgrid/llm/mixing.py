@@ -112,12 +112,21 @@ def mix_words(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken, whole documents only.
 
-    The document at the cut stays if at least half of it is within the budget.
+    The document at the cut stays if at least half of it is within the budget; rows that share doc_id and
+    size stand or fall together. Texts are not exchanged: the order is found on ids and sizes, and each
+    source's last taken place comes back as one row, which a join brings to the documents (Spark broadcasts
+    it while it is small).
     """
     counted = common.materialize(sized(docs), "mix-sizes")
+    place = lambda seed="mix": F.struct(random_key(F.col("doc_id"), seed).alias("k"), F.col("doc_id").alias("i"), F.col("size").alias("n"))
+    seed = options.get("seed", "mix")
+    within = F.col("before") * 2 + F.col("size") <= F.col("budget") * 2
+    named = lambda df: df.withColumns({"__source": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()})
+    limits = named(draw(counted, counted, **options)).groupBy("__source", "__none").agg(F.max("epochs").alias("__epochs"), F.max(F.when(within, place(seed))).alias("__last"))
+    limits = common.materialize(limits, "mix-limits")
     internal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.struct(*docs.columns).alias("__row"))
-    copies = F.col("epochs") + F.when(F.col("before") * 2 + F.col("size") <= F.col("budget") * 2, 1).otherwise(0)
-    taken = draw(internal, counted, **options).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    copies = F.col("__epochs") + F.when(F.coalesce(place(seed) <= F.col("__last"), F.lit(False)), 1).otherwise(0)
+    taken = named(internal).join(limits, ["__source", "__none"]).select("__row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("__copy"))
     return taken.select("__row.*")
 
 

@@ -198,6 +198,10 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, bins: int = BINS) -> P
     return Plan(start, copies, offset, first, closed, from_patterns)
 
 
+#: A column that tells rows apart that are equal in all others, so that they do not meet in one bucket.
+SALT = "__salt"
+
+
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, which has ``length`` (1..capacity) and is read more than once.
 
@@ -208,7 +212,8 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rows_per
         histogram[r["length"]] = r["count"]
     fitted = plan(histogram, capacity)
     buckets = max(1, int(histogram.sum()) // rows_per_bucket)
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    spread = [*order, *[c for c in pieces.columns if c == SALT]]
+    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inner = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)) - 1
@@ -225,8 +230,9 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rows_per
     return ranked.select(*names, F.col("length").cast("long").alias("__length"), "__rank").mapInArrow(place, schema)
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for batch in batches:
             for doc_ids, ids, counts in tokens.encoded(batch, path, end_id):
                 n_pieces = -(-counts // capacity)
@@ -236,24 +242,26 @@ def _pieces(path: str, end_id: int, capacity: int):
                 base = (np.cumsum(counts) - counts)[owner] + piece * capacity
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(base.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                columns = [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64()), pa.array(before + np.arange(len(owner)))]
+                before += len(owner)
+                if with_ids:
+                    columns.append(common.binaries(ids, 4 * np.append(0, np.cumsum(length))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", SALT, "ids"][: len(columns)])
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pack all token ids of ``docs`` (doc_id, text) into sequences of at most ``capacity``.
 
     Each document's ids are followed by ``end_id``; only documents longer than ``capacity`` are cut.
     Null or empty text is a piece of one id; rows with the same or a null doc_id are packed each on its
-    own; an empty table gives no rows. Returns a row for each piece.
+    own; an empty table gives no rows. Returns a row for each piece; ``with_ids`` adds its ids (little-endian
+    unsigned 32-bit), so that the pieces of a sequence in order of their offset are its content.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = common.materialize(docs.mapInArrow(_pieces(path or tokens.tokenizer_path(), end_id, capacity), schema), "pieces")
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)
+    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, {SALT} long" + (", ids binary" if with_ids else "")
+    pieces = common.materialize(docs.mapInArrow(_pieces(path or tokens.tokenizer_path(), end_id, capacity, with_ids), schema), "pieces")
+    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity).drop(SALT)
 
 
 def op1_pack_documents(spark, sf_dir: str) -> DataFrame:

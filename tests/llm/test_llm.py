@@ -3,11 +3,13 @@ import hashlib
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -62,6 +64,7 @@ def ids_of(odd, end):
 
 
 def test_packing(spark, odd):
+    odd = [*odd, (None, "no id", "a"), (None, "no id", "a")]
     got = packing.pack_documents(common.documents(table(spark, odd))).collect()
     whole = {}
     for r in got:
@@ -72,8 +75,8 @@ def test_packing(spark, odd):
             assert offset == at
             at += length
         assert at <= 2048
-    want = sorted((d, k, 2048 * k, len(p), zlib.crc32(p.tobytes())) for (d, _, _), ids in zip(odd, ids_of(odd, 0), strict=True) for k, p in enumerate(np.split(ids, range(2048, len(ids), 2048))))
-    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    want = sorted((d or 0, k, 2048 * k, len(p), zlib.crc32(p.tobytes())) for (d, _, _), ids in zip(odd, ids_of(odd, 0), strict=True) for k, p in enumerate(np.split(ids, range(2048, len(ids), 2048))))
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     assert packing.pack_documents(common.documents(table(spark, []))).count() == 0
 
 
@@ -233,7 +236,8 @@ def test_near_duplicates_odd(spark, odd):
 
 
 def test_mixing(spark, odd):
-    docs = table(spark, odd)
+    docs = table(spark, [*odd, (None, "no id here", "a")])
+    odd = [*odd, None]
     got = mixing.mix_words(docs)
     by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
     assert all(r.taken == int(r.target) <= 2 * r.size for r in by)
@@ -462,14 +466,59 @@ def test_chat(spark):
     assert chat.collapse(turns.where("false")).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    """Each stage on its own input, by plain Python: which rows, which texts, which copies, which sequences."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, DATA), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert docs.count() > 0
-    packed = corpus_pipeline.run(spark, DATA)
-    ids, counts = tokens.encode([r.text for r in docs.collect()], tokens.tokenizer_path(), 0)
-    assert packed.agg(F.sum("length")).first()[0] == len(ids) and counts.sum() == len(ids)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "near_duplicates", "substring_dedup", "mix_sources", "pack"]
+
+    def through(name, docs):
+        out = common.materialize(stages[name](spark, docs, DATA), name)
+        return out, [(r.doc_id, r.text, r.source) for r in docs.collect()], out.collect()
+
+    docs, given, kept = through("language_id", docs)
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, t, _ in given if any(c.isalpha() for c in t or ""))
+    docs, given, kept = through("near_duplicates", docs)
+    assert sorted(r.doc_id for r in kept) == [i for i, _, _, stays in brute.linked([(i, t) for i, t, _ in given], 5) if stays]
+    assert len(kept) < len(given)
+    docs, given, kept = through("substring_dedup", docs)
+    digests = {i: (n, d) for i, _, n, d in brute.removed([(i, t) for i, t, _ in given])}
+    before = {i: t for i, t, _ in given}
+    for r in kept:
+        n, digest = digests[r.doc_id]
+        assert r.text == before[r.doc_id] if not n else hashlib.sha256(r.text.encode()).hexdigest() == digest
+        assert r.n_chars == len(r.text)
+    assert len(kept) == len(given) and any(n for n, _ in digests.values())
+    targets = {r.source: (r.source_size, r.target) for r in mixing.mix_words(docs).select("source", "source_size", "target").distinct().collect()}
+    docs, given, kept = through("mix_sources", docs)
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    times = Counter(r.doc_id for r in kept)
+    for source, (size, target) in targets.items():
+        own = sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, len(brute.words(t))) for i, t, s in given if s == source)
+        epochs, budget = divmod(int(target), max(1, size))
+        ahead = 0
+        for _, i, n in own:
+            assert times[i] == epochs + (2 * ahead + n <= 2 * budget)
+            ahead += n
+    assert abs(sum(len(brute.words(r.text)) for r in kept) / sum(t for _, t in targets.values()) - 1) < 0.05
+    _, given, packed = through("pack", docs)
+    plain = tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
+    want = Counter((i, tuple([*plain.encode(t, add_special_tokens=False).ids, 0])) for i, t, _ in given)
+    sequences, texts = {}, {}
+    for r in packed:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        texts.setdefault(r.doc_id, Counter())[r.piece, bytes(r.ids)] += 1
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 2048
+    pieces = {}
+    for (i, ids), n in want.items():
+        data = np.asarray(ids, dtype="<u4").tobytes()
+        for k in range(0, len(data), 8192):
+            pieces.setdefault(i, Counter())[k // 8192, data[k : k + 8192]] += n
+    assert texts == pieces
+    least = -(-sum(r.length for r in packed) // 2048)
+    assert len(sequences) <= 1.05 * least + 1
+    assert corpus_pipeline.run(spark, DATA).count() == len(packed)
