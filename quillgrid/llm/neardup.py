@@ -17,8 +17,9 @@ similarity 0.8 with probability below 1e-8 (``SLACK``). A confirmed link compare
 fingerprints that are independent of those that sketches, trees and candidates come from.
 
 Texts travel where they are compared only: once for each pair of the first pass and once for each ``PARTNERS``
-pairs for its hub; in the second pass to those nodes where a sketch allows a link. Nodes with texts are
-bounded by bytes (``NODE_BYTES``), beside single longer texts.
+pairs for its hub; in the second pass to those nodes where a sketch allows a link. Either pass exchanges
+the texts by doc_id once, at every size: the ids that want them grow with the input, so they are not
+broadcast. Nodes with texts are bounded by bytes (``NODE_BYTES``), beside single longer texts.
 """
 
 from __future__ import annotations
@@ -380,8 +381,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     dealt = common.materialize(wanted.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")), "dealt-pairs")
     hubs = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(False).alias("is_partner"), F.col("a").alias("doc_id"))
     ends = hubs.union(dealt.select("a", "chunk", F.lit(True), "b"))
-    texts = docs.where("doc_id is not null and text is not null").join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
-    met = ends.join(texts, "doc_id").select("a", "chunk", "is_partner", "doc_id", "text")
+    texts = docs.where("doc_id is not null and text is not null")
+    met = ends.hint("merge").join(texts, "doc_id").select("a", "chunk", "is_partner", "doc_id", "text")
     sorted_ = met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "is_partner")
     return common.materialize(sorted_.mapInArrow(_confirm(percent, width), "a long, b long").distinct(), "links")
 
@@ -461,7 +462,7 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     columns = ["node", "label", "n", "rid", "sketch"]
     met = meetings(described_members, "cluster", load).select(*columns).repartition(parts, "node").sortWithinPartitions("node")
     wanted = common.materialize(met.mapInArrow(_active(threshold), "node long, label long, n long, rid long, sketch binary"), "text-nodes")
-    dealt = wanted.join(texts, "rid").select(*columns, "text")
+    dealt = wanted.hint("merge").join(texts, "rid").select(*columns, "text")
     settled = dealt.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_settle(percent, width), "a long, b long")
     more = common.materialize(settled.distinct(), "links")
     final = components(links.union(more)).withColumnRenamed("id", "rid")
