@@ -58,20 +58,23 @@ def _coin(name: np.ndarray, i: int) -> np.ndarray:
 
 
 def _paired(join: np.ndarray, keep: np.ndarray, name: np.ndarray, i: int) -> np.ndarray:
-    return np.where(join, common.mix64(name * _PAIR + np.roll(name, -1) + np.uint64(i + 1)), name)[keep]
+    out, at = name.copy(), np.flatnonzero(join)
+    out[at] = common.mix64(name[at] * _PAIR + name[at + 1] + np.uint64(i + 1))
+    return out[keep]
 
 
 class Symbols:
     """Neighbouring symbols of a block: first word, words, name, and a second name with independent hashes."""
 
-    def __init__(self, code: np.ndarray, check: np.ndarray, group: np.ndarray) -> None:
-        self.start, self.size, self.name, self.check, self.group = np.arange(len(code)), np.ones(len(code), dtype=np.int64), code, check, group
+    def __init__(self, code: np.ndarray, check: np.ndarray | None, group: np.ndarray) -> None:
+        self.start, self.size, self.name, self.check, self.group = np.arange(len(code)), np.ones(len(code), dtype=np.int32), code, check, group
 
     def only(self, keep: np.ndarray) -> None:
-        self.start, self.size, self.name, self.check, self.group = (x[keep] for x in (self.start, self.size, self.name, self.check, self.group))
+        self.start, self.size, self.name, self.group = (x[keep] for x in (self.start, self.size, self.name, self.group))
+        self.check = None if self.check is None else self.check[keep]
 
     def runs(self) -> None:
-        """Each maximal run of one symbol becomes a symbol."""
+        """Each maximal run of one symbol becomes a symbol; with second names only."""
         same = (self.name[1:] == self.name[:-1]) & (self.check[1:] == self.check[:-1]) & (self.group[1:] == self.group[:-1])
         if not same.any():
             return
@@ -97,21 +100,30 @@ class Symbols:
             return False
         join, keep = np.append(join, False), np.append(True, ~join)
         with np.errstate(over="ignore"):
-            name, check = _paired(join, keep, self.name, i), _paired(join, keep, self.check, i)
+            name, check = (None if x is None else _paired(join, keep, x, i) for x in (self.name, self.check))
         size = np.where(join, self.size + np.roll(self.size, -1), self.size)[keep]
         self.only(keep)
         self.name, self.check, self.size = name, check, size
         return True
 
 
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``code``, where each distinct value begins in it, the distinct values, and which one each place has."""
+    order = np.argsort(code)
+    in_order = code[order]
+    new = np.append(True, in_order[1:] != in_order[:-1])[: len(code)]
+    at = np.empty(len(code), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), in_order[new], at
+
+
 class Content:
     """Occurrences by content: distinct codes in order, the least doc_id of each, and which code each occurrence has."""
 
     def __init__(self, code: np.ndarray, doc_id: np.ndarray) -> None:
         self.doc_id = doc_id
-        self.codes, self.at = np.unique(code, return_inverse=True)
-        self.least = np.full(len(self.codes), np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.at, doc_id)
+        order, head, self.codes, self.at = _distinct(code)
+        self.least = np.minimum.reduceat(doc_id[order], head) if len(head) else doc_id[:0]
 
     def earlier(self, answers: list[dict] | None, ranges: int) -> np.ndarray:
         """Which occurrences have the same content in a smaller document, here or, by the ``answers``, anywhere."""
@@ -121,14 +133,16 @@ class Content:
 class Parsed:
     """A block's words, its symbols and named borders, and the windows."""
 
-    def __init__(self, block: bytes) -> None:
+    def __init__(self, block: bytes, checked: bool = True) -> None:
+        """``checked``: with the second hashes, which names do not need."""
         common.enter("words")
         self.rows = pa.ipc.open_stream(block).read_all().combine_chunks()
         ids = self.rows.column("doc_id").combine_chunks() if self.rows.num_rows else pa.array([], pa.int64())
         self.valid = np.asarray(ids.is_valid())
         self.doc_id = np.asarray(ids.fill_null(0), dtype=np.int64)
         self.raw, offsets = common.buffer_of(self.rows.column("text"))
-        self.start, self.end, self.first, self.code, self.check = common.words_of(self.raw, offsets, seeds=(0, 1))
+        self.start, self.end, self.first, self.code, *check = common.words_of(self.raw, offsets, seeds=(0, 1) if checked else (0,))
+        self.check = check[0] if checked else None
         n_words = np.diff(self.first)
         self.row = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
         stop = np.repeat(self.first[1:], n_words)
@@ -142,21 +156,19 @@ class Parsed:
         border[self.symbols.start] = True
         self.border = np.flatnonzero(border & (place - REACH >= begin) & (place + REACH <= stop) & usable)
         self.window = np.flatnonzero((place + WINDOW <= stop) & usable)
-        self.name = common.chain(self.code, 2 * REACH)[self.border - REACH] if len(self.border) else np.zeros(0, np.uint64)
+        name = common.chain(self.code, 2 * REACH)[self.border - REACH] if len(self.border) else np.zeros(0, np.uint64)
+        self.order, self.head, self.names, self.name_at = _distinct(name)
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct border names in order, and which of them are in several documents of the block."""
-        order = np.argsort(self.name, kind="stable")
-        name, row = self.name[order], self.row[self.border][order]
-        head = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
-        several = np.minimum.reduceat(self.doc_id[row], head) < np.maximum.reduceat(self.doc_id[row], head) if len(head) else np.zeros(0, bool)
-        return name[head], several
+    def several(self) -> np.ndarray:
+        """Which of the distinct border names are in several documents of the block."""
+        doc_id = self.doc_id[self.row[self.border]][self.order]
+        return np.minimum.reduceat(doc_id, self.head) < np.maximum.reduceat(doc_id, self.head) if len(self.head) else np.zeros(0, bool)
 
     def alone(self, shared: np.ndarray) -> np.ndarray:
         """Which words a border without a shared name stands before; ``shared``: by distinct name."""
         out = np.zeros(len(self.code) + 1, dtype=bool)
         if len(self.border):
-            out[self.border] = ~shared[np.searchsorted(self.names()[0], self.name)]
+            out[self.border] = ~shared[self.name_at]
         return out
 
     def long_symbols(self, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, Content]:
@@ -371,10 +383,9 @@ class Block:
     """What a block knows after the exchanges so far; ``answers``: names, symbols, windows."""
 
     def __init__(self, data, answers: list, ranges: int) -> None:
-        self.parsed = parsed = Parsed(data.as_buffer())
-        self.codes, self.several = parsed.names()
+        self.parsed = parsed = Parsed(data.as_buffer(), bool(answers))
         if answers:
-            alone = parsed.alone(_bits_of(answers[0], self.codes, ranges))
+            alone = parsed.alone(_bits_of(answers[0], parsed.names, ranges))
             self.start, self.size, self.symbols = parsed.long_symbols(alone)
         if len(answers) > 1:
             early = self.symbols.earlier(answers[1], ranges)
@@ -394,7 +405,7 @@ def _send(ranges: int):
             for block, data, *answers in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
                 known = Block(data, [a.as_py() for a in answers], ranges)
                 if not answers:
-                    yield _rows(known.codes, known.several, block, ranges)
+                    yield _rows(known.parsed.names, known.parsed.several(), block, ranges)
                 else:
                     content = known.symbols if len(answers) == 1 else known.windows
                     yield _rows(content.codes, content.least, block, ranges)
