@@ -26,6 +26,10 @@ _fallback_dirs: dict[str, str] = {}
 BATCH_BYTES = 8 << 20
 
 
+#: Bytes that a task gathers before it writes them to an intermediate table.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def settle(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, unless they are bounded more tightly."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,7 +50,13 @@ def enter(kind: str) -> None:
         if name != kind:
             clean()
     _working_on[:] = [kind]
+    leave()
+
+
+def leave() -> None:
+    """Called by a kernel at its end: an idle Python worker gives free memory back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -72,7 +82,7 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd", partition_by
     spark = df.sparkSession
     settle(spark)
     path = shared_dir(spark, tag)
-    writer = df.write.option("compression", compression)
+    writer = df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -129,19 +129,20 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, preferred_chars: int
 
     A text is drawn if its hashed doc_id lies under a threshold that the language's number of texts sets,
     so no language is gathered anywhere but in the sample. Texts of up to ``preferred_chars`` are drawn
-    where a language has enough of them. Rows of equal doc_id count as one text, the smallest.
+    where a language has enough of them. Rows of equal doc_id count as one text, the smallest. Of more than
+    TRAIN_TEXTS languages the most frequent ones are learnt; one short row for each is broadcast.
     """
     common.settle(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     short = F.length("text") <= preferred_chars
-    counts = usable.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()
+    counts = usable.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_TEXTS).collect()
     if not counts:
         return fit([], [])
     want = min(per_lang, max(1, TRAIN_TEXTS // len(counts)))
     limits = [(r.lang, r.short >= want, min(1.0, want / (r.short if r.short >= want else r.n))) for r in counts]
     rule = docs.sparkSession.createDataFrame(limits, "lang string, only_short boolean, share double")
     key = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(rule, "lang").where((key < F.col("share")) & (short | ~F.col("only_short")))
+    drawn = usable.join(F.broadcast(rule), "lang").where((key < F.col("share")) & (short | ~F.col("only_short")))
     found = drawn.groupBy("doc_id", "lang").agg(F.min(F.struct(F.length("text"), "text"))["text"].alias("text")).toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"] * 2654435761 & 0xFFFFFFFF, r["doc_id"], r["lang"]))
     return fit([r["text"] for r in found], [r["lang"] for r in found])

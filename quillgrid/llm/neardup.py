@@ -127,6 +127,7 @@ def _describe(width: int):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 columns = [batch.column(0).slice(lo, hi - lo), sizes, pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pc.binary_length(texts).cast(pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "tokens", "bytes"])
+        common.leave()
 
     return run
 
@@ -316,6 +317,7 @@ def _settle(percent: int, width: int):
         for batch in _by_node(batches):
             found = list(links_of(batch))
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+        common.leave()
 
     return run
 
@@ -367,6 +369,7 @@ def _confirm(percent: int, width: int):
                         a.append(x)
                         b.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        common.leave()
 
     return run
 

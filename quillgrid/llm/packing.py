@@ -247,6 +247,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
                 if with_ids:
                     columns.append(common.binaries(ids, 4 * np.append(0, np.cumsum(length))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", SALT, "ids"][: len(columns)])
+        common.leave()
 
     return run
 

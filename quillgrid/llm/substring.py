@@ -409,6 +409,8 @@ def _send(ranges: int):
                 else:
                     content = known.symbols if len(answers) == 1 else known.windows
                     yield _rows(content.codes, content.least, block, ranges)
+                del known
+        common.leave()
 
     return run
 
@@ -433,6 +435,8 @@ def _finish(ranges: int, names: list[str] | None):
                 text = [new.decode() if n else t for new, n, t in zip(parsed.kept(gone), n_removed.tolist(), old, strict=True)]
                 columns = [pa.array(text, pa.string()) if c == "__text" else parsed.rows.column(c).combine_chunks() for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        parsed = known = None
+        common.leave()
 
     return run
 

@@ -221,3 +221,4 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int | None) -> Iterator[tu
     for lo, hi in common.slices(batch.column(1), SEGMENT):
         ids, counts = encode(batch.column(1).slice(lo, hi - lo), path, end_id)
         yield batch.column(0).slice(lo, hi - lo), ids, counts
+        ids = counts = None

@@ -77,6 +77,9 @@ def test_packing(spark, odd):
         assert at <= 2048
     want = sorted((d or 0, k, 2048 * k, len(p), zlib.crc32(p.tobytes())) for (d, _, _), ids in zip(odd, ids_of(odd, 0), strict=True) for k, p in enumerate(np.split(ids, range(2048, len(ids), 2048))))
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    full = packing.pack_documents(common.documents(table(spark, odd)), with_ids=True).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.ids_crc32) for r in full) == sorted((d, k, c) for d, k, _, _, c in want)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in full)
     assert packing.pack_documents(common.documents(table(spark, []))).count() == 0
 
 
@@ -508,16 +511,16 @@ def test_pipeline_against_brute_force(spark):
     want = Counter((i, tuple([*plain.encode(t, add_special_tokens=False).ids, 0])) for i, t, _ in given)
     sequences, texts = {}, {}
     for r in packed:
-        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        texts.setdefault(r.doc_id, Counter())[r.piece, bytes(r.ids)] += 1
+        texts.setdefault(r.doc_id, Counter())[r.piece, r.length, r.ids_crc32] += 1
     for parts in sequences.values():
         assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 2048
     pieces = {}
     for (i, ids), n in want.items():
         data = np.asarray(ids, dtype="<u4").tobytes()
         for k in range(0, len(data), 8192):
-            pieces.setdefault(i, Counter())[k // 8192, data[k : k + 8192]] += n
+            part = data[k : k + 8192]
+            pieces.setdefault(i, Counter())[k // 8192, len(part) // 4, zlib.crc32(part)] += n
     assert texts == pieces
     least = -(-sum(r.length for r in packed) // 2048)
     assert len(sequences) <= 1.05 * least + 1
