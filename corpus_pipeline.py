@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their ids, placed in sequences of at most 2048 tokens."""
-    return packing.pack_documents(common.documents(docs), with_ids=True)
+    """Each document's pieces, placed in sequences of at most 2048 tokens; ``with_ids`` of the operator adds their ids."""
+    return packing.pack_documents(common.documents(docs))
 
 
 STAGES = [
