@@ -116,14 +116,18 @@ b AS (SELECT *, CASE WHEN NOT ringed THEN CASE WHEN row % 4 = 0 THEN 'E' || l_pa
   WHEN l_orderkey % 2 = 0 AND count(*) FILTER (row = 2) OVER (PARTITION BY l_orderkey) > 0 THEN lpad((l_orderkey + 498 + row)::VARCHAR, greatest(length((l_orderkey + 500)::VARCHAR), length((l_orderkey + 498 + row)::VARCHAR))::INTEGER, '0') ELSE 'x' || l_partkey END AS text, row % 4 = 0 AS edited FROM a)
 SELECT l_orderkey, row::INTEGER AS row, text, (CASE WHEN edited THEN 100 WHEN left(text, 1) = 'x' THEN 10 WHEN row = 2 THEN 100 ELSE 70 END)::INTEGER AS score, edited AS is_manual_edit FROM b""")
 def anchor_edit(spark, sf_dir):
-    """Edits of each fourth cell and, in even orders, of the ring column's anchor in row 2, which renumbers the column."""
+    """An edit of every cell: a new value for each fourth and, in even orders, for the ring column's anchor in row 2, else its own text."""
     cells = _order_cells(spark, sf_dir).select(
         "l_orderkey", "row", F.when(F.col("l_orderkey") % 3 > 0, "batch").otherwise("age").alias("role"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("text"),
         F.lit(10).alias("score"), ((F.col("row") == 2) & (F.col("l_orderkey") % 3 > 0)).alias("is_anchor"), F.lit(False).alias("is_manual_edit"),
     )
-    fourth = _order_cells(spark, sf_dir).where("row % 4 = 0").select("l_orderkey", "row", F.concat(F.lit("E"), F.col("l_partkey").cast("string")).alias("value"), F.lit(2).alias("seq"))
-    ring = cells.where("is_anchor and l_orderkey % 2 = 0").select("l_orderkey", "row", F.concat(F.lit(" "), (F.col("l_orderkey") + 500).cast("string")).alias("value"), F.lit(1).alias("seq"))
-    out = edits.apply_with_anchor(cells, fourth.union(ring), ("l_orderkey",))
+    value = (
+        F.when(F.col("row") % 4 == 0, F.concat(F.lit("E"), F.substring("text", 2, 20)))
+        .when(F.col("is_anchor") & (F.col("l_orderkey") % 2 == 0), F.concat(F.lit(" "), (F.col("l_orderkey") + 500).cast("string")))
+        .otherwise(F.col("text"))
+    )
+    log = cells.select("l_orderkey", "row", value.alias("value"), F.lit(1).alias("seq"))
+    out = edits.apply_with_anchor(cells, log, ("l_orderkey",))
     return out.select("l_orderkey", "row", "text", "score", "is_manual_edit")
 
 
@@ -360,7 +364,7 @@ def first_misses(spark, sf_dir):
     """A report: the first five misses of each role."""
     o = t(spark, sf_dir, "orders")
     truth = o.select("o_orderkey", F.col("o_orderstatus").alias("role"), F.col("o_orderpriority").alias("text"))
-    said = o.where("o_custkey % 4 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("text"))
+    said = o.select("o_orderkey", F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderpriority")).alias("text"))
     return evaluate.first_misses(truth, said, ["o_orderkey"], "role").withColumn("said", F.coalesce("said", F.lit("")))
 
 
