@@ -50,24 +50,28 @@ def rebuild_stats(rebuilt: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     )
 
 
-def find_anchor(observed: Column, row: Column, part) -> Column:
-    """Row of the cell with the most plausible number (4 to 7 digits, best 5), ties to the earliest."""
+def find_anchor(observed: Column, row: Column, part, digits: tuple[int, int] = (4, 7), best: int | None = 5) -> Column:
+    """Row of the cell with the most plausible number (``digits`` long, best ``best``), ties to the earliest.
+
+    Where the form's numbers have no usual length, ``best`` is None and the first plausible number is taken.
+    """
     n = F.length(T.digits_only(observed))
-    score = F.when(n.between(4, 7), 100 - F.abs(5 - n))
+    score = F.when(n.between(*digits), F.lit(100) if best is None else 100 - F.abs(best - n))
     return F.max_by(F.when(score.isNotNull(), row), F.when(score.isNotNull(), F.struct(score, -row))).over(part)
 
 
-def initial(cells: DataFrame, header_number: str | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
+def initial(cells: DataFrame, header_number: str | None = None, key: tuple[str, ...] = KEY, digits: tuple[int, int] = (4, 7), best: int | None = 5) -> DataFrame:
     """Number a column along its non-blank cells from the best observed number.
 
     Reads row, observed and is_blank. Without an anchor a header number of 4 digits or more stands for the
-    row above the first cell; without either, digits that were observed stay at score 30.
+    row above the first cell; without either, digits that were observed stay at score 30. ``digits`` and
+    ``best`` are those of ``find_anchor``.
     """
     part = Window.partitionBy(*key)
     upto = part.orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inked = ~F.coalesce(F.col("is_blank"), F.lit(False))
     read = F.when(inked, F.coalesce("observed", F.lit("")))
-    placed = cells.withColumn("__rank", F.when(inked, F.count_if(inked).over(upto) - 1)).withColumn("__a", find_anchor(read, F.col("row"), part))
+    placed = cells.withColumn("__rank", F.when(inked, F.count_if(inked).over(upto) - 1)).withColumn("__a", find_anchor(read, F.col("row"), part, digits, best))
     at_anchor = F.col("row") == F.col("__a")
     from_cell = F.max(F.when(at_anchor, T.parse_anchor(F.col("observed")) - F.col("__rank"))).over(part)
     head = F.col(header_number) if header_number else F.lit(None).cast("string")
