@@ -97,7 +97,7 @@ def fold_lines(lines: Column, threshold: int, least: int) -> Column:
 
     A segment that begins above a line, near its top, becomes its top; else one that ends below it, near its
     bottom, becomes its bottom. Each counts as a find of that line; one that extends none is a new line.
-    Returns the lines with at least ``least`` finds.
+    Returns the lines with at least ``least`` finds. Every segment meets every line: ``fold_pages`` is for long pages.
     """
     kind = "array<struct<x0:double,y0:double,x1:double,y1:double,found:int>>"
     points = ("x0", "y0", "x1", "y1")
@@ -120,6 +120,104 @@ def fold_lines(lines: Column, threshold: int, least: int) -> Column:
     return F.filter(F.aggregate(doubles, F.array().cast(kind), meet), lambda v: v["found"] >= least)
 
 
+class _Fold:
+    """The lines of one page as ``fold_lines`` merges them, fed in order.
+
+    Lines that came to the same place stay together from then on, so each place is held once with how many
+    lines have which number of finds. Places are few where lines are many.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.at = threshold, np.empty((4, 64))
+        self.points: list[tuple[float, ...]] = []
+        self.place: dict[tuple[float, ...], int] = {}
+        self.finds: list[dict[int, int]] = []  # number of lines by finds, less ``more``
+        self.more: list[int] = []
+
+    def _put(self, point: tuple[float, ...], finds: dict[int, int], more: int) -> None:
+        i = self.place.get(point)
+        if i is None:
+            i = self.place[point] = len(self.points)
+            if i == self.at.shape[1]:
+                self.at = np.concatenate([self.at, np.empty_like(self.at)], axis=1)
+            self.at[:, i] = point
+            self.points.append(point)
+            self.finds.append(finds)
+            self.more.append(more)
+            return
+        if len(finds) > len(self.finds[i]):
+            finds, more, self.finds[i], self.more[i] = self.finds[i], self.more[i], finds, more
+        into, by = self.finds[i], more - self.more[i]
+        for n, lines in finds.items():
+            into[n + by] = into.get(n + by, 0) + lines
+
+    def _take(self, i: int) -> tuple[dict[int, int], int]:
+        """Remove place ``i``; the last one moves there."""
+        out = self.finds[i], self.more[i]
+        del self.place[self.points[i]]
+        point, finds, more = self.points.pop(), self.finds.pop(), self.more.pop()
+        if i < len(self.points):
+            self.points[i], self.finds[i], self.more[i] = point, finds, more
+            self.place[point] = i
+            self.at[:, i] = point
+        return out
+
+    def meet(self, segments: np.ndarray) -> None:
+        """Segments as rows x0, y0, x1, y1; NaN stands for null, which meets nothing."""
+        for s in map(tuple, segments[np.abs(segments[:, 2] - segments[:, 0]) < self.threshold].tolist()):
+            x0, y0, x1, y1 = self.at[:, : len(self.points)]
+            above = (s[1] < y0) & (np.abs(x0 - s[0]) < self.threshold)
+            met = np.flatnonzero(above | ((s[3] > y1) & (np.abs(x1 - s[2]) < self.threshold)))
+            if not len(met):
+                self._put(s, {0: 1}, 0)
+                continue
+            moved = [(s[:2] + self.points[i][2:] if above[i] else self.points[i][:2] + s[2:], *self._take(i)) for i in met[::-1].tolist()]
+            for point, finds, more in moved:
+                self._put(point, finds, more + 1)
+
+    def lines(self, least: int) -> list[tuple[float, ...]]:
+        """(x0, y0, x1, y1, found) of the lines with at least ``least`` finds."""
+        each = ((p, n + more, lines) for p, finds, more in zip(self.points, self.finds, self.more, strict=True) for n, lines in finds.items())
+        return [(*p, found) for p, found, lines in each if found >= least for _ in range(lines)]
+
+
+def fold_pages(segments: DataFrame, key: list[str], order: list[str], threshold: float, least: int) -> DataFrame:
+    """``fold_lines`` of each page's rows (key, x0, y0, x1, y1), in ``order``: a row per line (key, x0, y0, x1, y1, found).
+
+    For pages of any length: a page's rows pass one task in sorted batches, and only its places are held. A
+    page without lines has one row without values. Coordinates are numbers or null.
+    """
+    points = ("x0", "y0", "x1", "y1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, fold, schema = None, None, None
+
+        def done() -> pa.RecordBatch:
+            lines = fold.lines(least) or [(None,) * 5]
+            values = [pa.array(v, pa.float64(), from_pandas=True) for v in list(zip(*lines, strict=True))[:4]]
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * len(lines), f.type) for k, f in zip(page, schema, strict=True)), *values, pa.array([v[4] for v in lines], pa.int32())], [*key, *points, "found"])
+
+        for batch in batches:
+            schema = [batch.schema.field(k) for k in key]
+            codes = [np.asarray(pc.dictionary_encode(batch.column(k), null_encoding="encode").indices) for k in key]
+            starts = np.flatnonzero(np.any([np.append(True, c[1:] != c[:-1]) for c in codes], axis=0)) if len(batch) else []
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in points], axis=1)
+            for lo, hi in zip(starts, [*starts[1:], len(batch)], strict=True):
+                here = tuple(batch.column(k)[int(lo)].as_py() for k in key)
+                if fold is None or here != page:
+                    if fold is not None:
+                        yield done()
+                    page, fold = here, _Fold(threshold)
+                fold.meet(values[lo:hi])
+        if fold is not None:
+            yield done()
+
+    fields = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in key)
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else small partitions of long work are joined
+    dealt = segments.repartition(parts, *key).sortWithinPartitions(*key, *order)
+    return dealt.select(*key, *[F.col(c).cast("double").alias(c) for c in points]).mapInArrow(run, f"{fields}, x0 double, y0 double, x1 double, y1 double, found int")
+
+
 def skew(lines: Column) -> Column:
     """Degrees by which a page is turned so that the leftmost of its folded lines is upright; null without lines."""
     first = F.get(F.array_sort(lines), F.lit(0))
