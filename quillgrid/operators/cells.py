@@ -34,10 +34,11 @@ def format_cells(cells: DataFrame) -> DataFrame:
     raw = F.coalesce(*[F.col(c) for c in ("image_raw", "image") if c in have], none)
     image = F.coalesce(*[F.col(c) for c in ("image", "image_raw") if c in have], none)
     filled = {c: F.coalesce(F.col(c), d) if c in have else d for c, d in defaults().items()}
-    full = cells.withColumns({**filled, "image": image, "image_raw": raw})
-    blank = F.coalesce(F.col("image_raw").isNotNull() & F.col("__blank"), F.lit(False))
-    marked = full.withColumn("__blank", images.blank_gate(F.col("image_raw"), F.col("h"), F.col("w")))
-    return marked.withColumns(
+    crops = [c for c in ("image_raw", "image") if c in have]
+    marked = images.with_blank(cells, "__blank", crops) if crops else cells.withColumn("__blank", F.lit(None).cast("boolean"))
+    full = marked.withColumns({**filled, "image": image, "image_raw": raw})
+    blank = F.coalesce("__blank", F.lit(False))
+    return full.withColumns(
         {
             "is_blank": F.col("is_blank") & F.col("image_raw").isNull() | blank,
             "skip_ocr": F.col("skip_ocr") | blank,
@@ -54,7 +55,8 @@ def ditto_stage(cells: DataFrame) -> DataFrame:
     without ink is blank, not ditto. Marks are found by ink, in species columns by shape, too.
     """
     looked = (F.col("row") > 0) & (F.coalesce("role", F.lit("")) != "batch") & ~F.col("is_blank") & ~F.col("skip_ocr") & F.col("image").isNotNull()
-    seen = cells.withColumn("__mark", images.mark_gate(F.when(looked, F.col("image")), F.col("h"), F.col("w")))
+    seen = images.with_mark(cells.withColumn("__looked", looked), "__mark", ["image"], "__looked")
+    looked = F.col("__looked")
     blank = looked & (F.col("__mark") == "blank")
     ditto = looked & ((F.col("__mark") == "ink") | (F.col("__mark") == "shape") & (F.coalesce("role", F.lit("")) == "species"))
     return seen.withColumns(
@@ -64,7 +66,7 @@ def ditto_stage(cells: DataFrame) -> DataFrame:
             "score": F.when(ditto, 100).otherwise(F.col("score")),
             "skip_ocr": F.when(looked, F.coalesce(blank | ditto, F.lit(False))).otherwise(F.col("skip_ocr")),
         }
-    ).drop("__mark")
+    ).drop("__mark", "__looked")
 
 
 def skip_fuzzy(text: Column, predictions: Column) -> Column:
