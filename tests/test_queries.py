@@ -1,5 +1,6 @@
 import pytest
 from oracle import DATA, same
+from pyspark.sql import functions as F
 
 from quillgrid.queries import QUERIES, SQL
 
@@ -22,6 +23,15 @@ def test_numbers_of_different_lengths(spark, tmp_path, name):
     same(QUERIES[name](spark, str(tmp_path)), SQL[name], str(tmp_path))
 
 
+@pytest.mark.parametrize("name", ["deskew", "line_fold"])
+def test_long_pages_are_folded_in_a_stream(spark, tmp_path, name):
+    """All segments on one page, beside a page without any line; no list of a page's segments is made."""
+    spark.range(1500).select(F.col("id").alias("event_id"), F.when(F.col("id") == 7, 3).otherwise(F.col("id") % 3 * 50).cast("long").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    same(out, SQL[name], str(tmp_path))
+
+
 def test_entry(spark):
     import __spark_entry__
 
