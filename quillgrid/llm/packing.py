@@ -4,8 +4,9 @@ Only the histogram of piece lengths (at most ``capacity`` rows) reaches the driv
 up to three length bins that fill a sequence exactly are enumerated, their repeat counts are fitted to
 the histogram by non-negative least squares, rounded, and cut to what the histogram holds. What remains
 is packed by best fit, first into the room that the patterns leave, then into new sequences. The result
-is a bounded table of slots; each piece finds its slot from its rank among the pieces of its length, and
-that rank is counted in parallel (by hashed bucket, then by prefix sums of the bucket counts).
+is a bounded table of slots; each piece finds its slot from its rank among the pieces of its length. The
+task that makes a piece counts its place among the pieces of its length in a part (a run of the task's
+pieces); running sums over the parts' counts turn places into ranks, so that no piece is sorted.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 CAPACITY = 2048
 BINS = 256
-ROWS_PER_BUCKET = 16_384
+ROWS_PER_PART = 16_384
 
 
 def patterns(bins: int) -> np.ndarray:
@@ -198,41 +200,78 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, bins: int = BINS) -> P
     return Plan(start, copies, offset, first, closed, from_patterns)
 
 
-#: A column that tells rows apart that are equal in all others, so that they do not meet in one bucket.
-SALT = "__salt"
+#: What ``numbered`` adds: a piece's part, its place among the part's pieces of its length, and, in a row of its own, the part's counts by length.
+PART, PLACE, COUNTS = "__part", "__place", "__counts"
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add sequence_id and offset to ``pieces``, which has ``length`` (1..capacity) and is read more than once.
+def numbered(batches: Iterator[pa.RecordBatch], capacity: int, rows_per_part: int) -> Iterator[pa.RecordBatch]:
+    """A task's pieces (with ``length``, 1..capacity) and their places; a part ends with the batch that fills it."""
+    counts_type = pa.list_(pa.int64())
+    part, rows, counts = TaskContext.get().partitionId() << 32, 0, np.zeros(capacity + 1, dtype=np.int64)
 
-    ``order`` lists the columns that tell rows apart; rows equal in all of them are interchangeable.
+    def end(schema: pa.Schema) -> pa.RecordBatch:
+        columns = [*(pa.nulls(1, f.type) for f in schema), pa.array([part], pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts], counts_type)]
+        return pa.RecordBatch.from_arrays(columns, [*schema.names, PART, PLACE, COUNTS])
+
+    for batch in batches:
+        length = np.asarray(batch.column(batch.schema.get_field_index("length")), dtype=np.int64)
+        here = np.bincount(length, minlength=capacity + 1)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(length), dtype=np.int64)
+        place[order] = np.arange(len(length)) + np.repeat(counts - (np.cumsum(here) - here), here)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part)), pa.array(place), pa.nulls(len(length), counts_type)], [*batch.schema.names, PART, PLACE, COUNTS])
+        counts += here
+        rows += len(length)
+        if rows >= rows_per_part:
+            yield end(batch.schema)
+            part, rows = part + 1, 0
+            counts[:] = 0
+    if rows:
+        yield end(batch.schema)
+
+
+def _sums(capacity: int):
+    """Counts of the parts before each part; part -1: of all parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(capacity + 1, dtype=np.int64)
+        for batch in batches:
+            before = []
+            for counts in batch.column(1):
+                before.append(total.copy())
+                total += np.asarray(counts.values, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.list_(pa.int64()))], [PART, "__before"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.list_(pa.int64()))], [PART, "__before"])
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to ``pieces``, which ``numbered`` made for this capacity; they are read more than once.
+
+    A row of ``capacity`` + 1 counts for each part goes through one task and then meets the part's pieces.
     """
-    histogram = np.zeros(capacity + 1, dtype=np.int64)
-    for r in pieces.groupBy("length").count().collect():
-        histogram[r["length"]] = r["count"]
-    fitted = plan(histogram, capacity)
-    buckets = max(1, int(histogram.sum()) // rows_per_bucket)
-    spread = [*order, *[c for c in pieces.columns if c == SALT]]
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)) - 1
-    ranked = dealt.withColumn("__inner", inner).join(base, ["length", "__bucket"]).withColumn("__rank", F.col("__base") + F.col("__inner"))
-    names = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    parts = pieces.where(F.col(COUNTS).isNotNull()).select(PART, COUNTS).repartition(1).sortWithinPartitions(PART)
+    before = common.materialize(parts.mapInArrow(_sums(capacity), f"{PART} long, __before array<long>"), "piece-counts")
+    total = before.where(F.col(PART) < 0).select("__before").head()
+    fitted = plan(np.asarray(total[0], dtype=np.int64) if total else np.zeros(capacity + 1, dtype=np.int64), capacity)
+    names = [c for c in pieces.columns if c not in (PART, PLACE, COUNTS)]
+    rank = F.get("__before", F.col("length").cast("int")) + F.col(PLACE)
+    met = pieces.where(F.col(PLACE).isNotNull()).drop(COUNTS).join(before.hint("shuffle_hash"), PART)
+    schema = met.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("places")
         for batch in batches:
             length, rank = (np.asarray(batch.column(i), dtype=np.int64) for i in (len(names), len(names) + 1))
             sequence, offset = fitted.place(length, rank)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, F.col("length").cast("long").alias("__length"), "__rank").mapInArrow(place, schema)
+    return met.select(*names, F.col("length").cast("long").alias("__length"), rank.alias("__rank")).mapInArrow(place, schema)
 
 
-def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, rows_per_part: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_ids, ids, counts in tokens.encoded(batch, path, end_id):
                 n_pieces = -(-counts // capacity)
@@ -242,17 +281,19 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
                 base = (np.cumsum(counts) - counts)[owner] + piece * capacity
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(base.tolist(), length.tolist(), strict=True)]
-                columns = [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64()), pa.array(before + np.arange(len(owner)))]
-                before += len(owner)
+                columns = [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(common.binaries(ids, 4 * np.append(0, np.cumsum(length))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", SALT, "ids"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from numbered(cut(batches), capacity, rows_per_part)
         common.leave()
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Pack all token ids of ``docs`` (doc_id, text) into sequences of at most ``capacity``.
 
     Each document's ids are followed by ``end_id``; only documents longer than ``capacity`` are cut.
@@ -260,9 +301,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, ca
     own; an empty table gives no rows. Returns a row for each piece; ``with_ids`` adds its ids (little-endian
     unsigned 32-bit), so that the pieces of a sequence in order of their offset are its content.
     """
-    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, {SALT} long" + (", ids binary" if with_ids else "")
-    pieces = common.materialize(docs.mapInArrow(_pieces(path or tokens.tokenizer_path(), end_id, capacity, with_ids), schema), "pieces")
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity).drop(SALT)
+    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long{', ids binary' * with_ids}, {PART} long, {PLACE} long, {COUNTS} array<long>"
+    pieces = common.materialize(docs.mapInArrow(_pieces(path or tokens.tokenizer_path(), end_id, capacity, with_ids, rows_per_part), schema), "pieces")
+    return pack(pieces, capacity)
 
 
 def op1_pack_documents(spark, sf_dir: str) -> DataFrame:

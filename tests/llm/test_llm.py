@@ -83,6 +83,27 @@ def test_packing(spark, odd):
     assert packing.pack_documents(common.documents(table(spark, []))).count() == 0
 
 
+def test_packing_sorts_no_pieces(spark, odd):
+    plan = packing.pack_documents(common.documents(table(spark, odd)))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_packing_ranks_over_parts(spark, monkeypatch):
+    seen, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces, capacity: pack(seen.append(pieces) or pieces, capacity))
+    rows = [(k % 7, "word " * (k % 5), "a") for k in range(1000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        got = packing.pack_documents(common.documents(table(spark, rows).coalesce(2)), rows_per_part=50).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0].where(F.col(packing.COUNTS).isNotNull()).count() > 10
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((d, t.count(" ") + 1) for d, t, _ in rows)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip([(None, 0, 0), *places], places, strict=False))
+    assert len({s for s, _, _ in places}) == -(-sum(n for _, _, n in places) // 2048)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)
