@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,37 @@ BATCH_BYTES = 8 << 20
 ROW_GROUP_BYTES = 32 << 20
 
 
+#: How far the driver's heap may grow before its garbage is collected and given back.
+HEAP_GROWTH = 48 << 20
+
+_heap_after: dict[str, int] = {}
+
+
+def give_back(spark: SparkSession) -> str | None:
+    """The driver gives free memory back to the system: garbage of its heap, where that grew, and what its JIT compiler and plans have freed.
+
+    Returns what the JVM says of its native heap; None where it has no such command (JDK before 17.0.9, other systems).
+    """
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() >= _heap_after.get(app, 0) + HEAP_GROWTH:
+        jvm.java.lang.System.gc()
+        _heap_after[app] = runtime.totalMemory()
+    leave()
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    arguments = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    arguments[0], arguments[1] = command, "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JError):
+        # the server's class is internal to the JVM, so its public interface is called
+        invoke = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+        return invoke[0].invoke(beans, arguments)
+    return None
+
+
 def settle(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless they are bounded more tightly."""
+    """Bound the Arrow batches of this session, unless they are bounded more tightly; the driver gives free memory back."""
+    give_back(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name)
     if not now.isdigit() or int(now) > BATCH_BYTES:

@@ -1,3 +1,4 @@
+import gc
 import gzip
 import hashlib
 import random
@@ -546,3 +547,14 @@ def test_pipeline_against_brute_force(spark):
     least = -(-sum(r.length for r in packed) // 2048)
     assert len(sequences) <= 1.05 * least + 1
     assert corpus_pipeline.run(spark, DATA).count() == len(packed)
+
+
+def test_driver_gives_memory_back_between_steps(spark):
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    held = [spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(128 << 20) for _ in range(6)]
+    grown = runtime.totalMemory()
+    del held
+    gc.collect()
+    assert common.materialize(spark.range(5).toDF("x"), "small").count() == 5
+    assert runtime.totalMemory() <= grown - (256 << 20)
+    assert (common.give_back(spark) or "trim").lower().startswith("trim")
